@@ -68,12 +68,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def running_sums(values: Column) -> Column:
-    """Inclusive running sums of an array of integers, in two levels."""
+def running(values: Column, merge, start: int) -> Column:
+    """Inclusive running folds of an array of integers, in two levels."""
 
-    def run_sums(run: Column, start: Column) -> Column:
-        sums = F.aggregate(run, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return F.slice(sums, 2, RUN)
+    def run_folds(run: Column, first: Column) -> Column:
+        folds = F.aggregate(
+            run, F.array(first), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x)))
+        )
+        return F.slice(folds, 2, RUN)
 
     def spread(v: Column) -> Column:
         runs = F.transform(
@@ -86,13 +88,13 @@ def running_sums(values: Column) -> Column:
                     rs,
                     F.aggregate(
                         rs,
-                        F.array(F.lit(0)),
+                        F.array(F.lit(start)),
                         lambda acc, r: F.concat(
-                            acc, F.array(F.element_at(acc, -1) + F.aggregate(r, F.lit(0), lambda a, x: a + x))
+                            acc, F.array(merge(F.element_at(acc, -1), F.aggregate(r, F.lit(start), merge)))
                         ),
                     ),
                     # zip_with pads the run that lies past the end with null
-                    lambda r, start: F.when(r.isNull(), F.array().cast("array<int>")).otherwise(run_sums(r, start)),
+                    lambda r, first: F.when(r.isNull(), F.array().cast("array<int>")).otherwise(run_folds(r, first)),
                 )
             ),
         )
@@ -100,23 +102,44 @@ def running_sums(values: Column) -> Column:
     return F.when(F.size(values) > 0, let(values, spread)).otherwise(F.array().cast("array<int>"))
 
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, x: a + x, 0)
+
+
+SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+#: Characters of context that a span carries on either side.
+CONTEXT = 40
 
 
 def regex_spans(text: Column, pattern: str, present: Column | None = None) -> Column:
-    """Every leftmost non-overlapping match of ``pattern`` with its code points.
+    """Every leftmost non-overlapping match of ``pattern`` with its code points,
+    and what lies between it and its neighbours, up to CONTEXT characters.
 
-    Spark gives no positions; gaps between matches do.  ``present`` is a cheap
-    test that must hold where there is a match, so that most texts stop there.
+    Spark gives no positions; the lengths of the gaps between matches do.
+    ``present`` is a cheap test that holds where there is a match, so that most
+    texts stop there.
     """
     found = text.rlike(pattern) if present is None else present & text.rlike(pattern)
 
     def place(x: Column) -> Column:
-        steps = F.zip_with(F.slice(x.gaps, 1, F.size(x.hits)), x.hits, lambda g, h: F.length(g) + F.length(h))
+        n = F.size(x.hits)
+        steps = F.zip_with(F.slice(x.gaps, 1, n), x.hits, lambda g, h: F.length(g) + F.length(h))
+        around = F.zip_with(
+            F.transform(F.slice(x.gaps, 1, n), lambda g: F.right(g, F.lit(CONTEXT))),
+            F.transform(F.slice(x.gaps, 2, n), lambda g: F.left(g, F.lit(CONTEXT))),
+            lambda b, a: F.struct(b.alias("b"), a.alias("a")),
+        )
+        placed = F.zip_with(running_sums(steps), x.hits, lambda end, h: F.struct(end.alias("end"), h.alias("h")))
         return F.zip_with(
-            running_sums(steps),
-            x.hits,
-            lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("value")),
+            placed,
+            around,
+            lambda p, c: F.struct(
+                (p.end - F.length(p.h)).alias("start"),
+                p.end.alias("end"),
+                p.h.alias("value"),
+                c.b.alias("before"),
+                c.a.alias("after"),
+            ),
         )
 
     both = F.struct(

@@ -28,6 +28,8 @@ MAX_REPEAT_PERCENT = 20
 TOP_WORDS = 32
 #: Places that say whether a word can be one of these.
 BINS = 1024
+#: Repeated hashes up to which a text's windows are looked up one by one.
+LOOKED_UP = 64
 #: The commonest languages have references of their own; the table of
 #: references is broadcast, and this bounds it.
 MAX_LANGUAGES = 64
@@ -38,26 +40,23 @@ MIN_WORDS_FOR_WORDS = 60
 MAX_WORD_DISTANCE = 0.55
 
 #: Patterns whose matched characters are counted; the rest is the last class.
-#: What is neither a lower-case letter nor a space is kept and then counted.
-NOT_PLAIN = "[\\p{Ll}\\x20\\x09-\\x0D]+"
 N_CLASSES = 5
 
 
-def class_counts(text: Column, words: Column) -> Column:
-    """Characters by class: lower, upper, digit, other, space.
+def rare_characters(text: Column) -> Column:
+    """The text without lower-case letters and spaces; most of it goes at once."""
+    return F.regexp_replace(F.regexp_replace(text, "[a-z\\x20\\x09-\\x0D]+", ""), "\\p{Ll}+", "")
 
-    One pass over the text leaves the rarer characters, which are few.
-    """
-
-    def of(rare: Column) -> Column:
-        upper = F.length(F.regexp_replace(rare, "[^\\p{Lu}]+", ""))
-        digit = F.length(F.regexp_replace(rare, "[^0-9]+", ""))
-        dense = F.length(F.array_join(words, ""))
-        return F.array(
-            dense - F.length(rare), upper, digit, F.length(rare) - upper - digit, F.length(text) - dense
-        )
 
-    return let(F.regexp_replace(text, NOT_PLAIN, ""), of)
+def class_counts(n_chars: Column, dense: Column, rare: Column) -> list[Column]:
+    """Characters by class: lower, upper, digit, other, space.  ``dense`` is the
+    number of characters in words, ``rare`` what rare_characters() leaves."""
+    upper = F.length(F.regexp_replace(rare, "[^\\p{Lu}]+", ""))
+    digit = F.length(F.regexp_replace(rare, "[^0-9]+", ""))
+    return [
+        c.cast("double")
+        for c in (dense - F.length(rare), upper, digit, F.length(rare) - upper - digit, n_chars - dense)
+    ]
 
 
 def repeated_words(words: Column, window_hashes: Column) -> Column:
@@ -67,17 +66,23 @@ def repeated_words(words: Column, window_hashes: Column) -> Column:
     no window is.  Else the windows of such hashes are compared as strings.
     """
 
-    def neighbours_equal(sorted_pairs: Column) -> Column:
-        n = F.size(sorted_pairs)
+    def neighbours_equal(pairs: Column) -> Column:
+        n = F.size(pairs)
         return F.filter(
-            sorted_pairs,
-            lambda e, k: ((k > 0) & (F.get(sorted_pairs, k - 1).x == e.x))
-            | ((k + 1 < n) & (F.get(sorted_pairs, k + 1).x == e.x)),
+            pairs,
+            lambda e, k: ((k > 0) & (F.get(pairs, k - 1).x == e.x)) | ((k + 1 < n) & (F.get(pairs, k + 1).x == e.x)),
         )
 
     def exact(ws: Column, hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("x"), i.alias("i"))))
-        suspects = let(pairs, neighbours_equal)
+        twice = let(F.sort_array(hashes), lambda v: F.array_distinct(F.filter(v, lambda h, k: (k > 0) & (F.get(v, k - 1) == h))))
+        places = F.transform(hashes, lambda h, i: F.struct(h.alias("x"), i.alias("i")))
+        # a few repeated hashes are looked up one by one, many are found by a sort
+        suspects = let(
+            twice,
+            lambda d: F.when(
+                F.size(d) <= LOOKED_UP, F.filter(places, lambda e: F.array_contains(d, e.x))
+            ).otherwise(let(F.array_sort(places), neighbours_equal)),
+        )
         strings = F.array_sort(
             F.transform(
                 suspects,
@@ -92,10 +97,10 @@ def repeated_words(words: Column, window_hashes: Column) -> Column:
         )
         return cover.n
 
-    hashes = window_hashes
     return F.when(
-        (F.size(words) <= WINDOW) | (F.size(F.array_distinct(hashes)) == F.size(hashes)), F.lit(0).cast("bigint")
-    ).otherwise(let(F.struct(words.alias("w"), hashes.alias("h")), lambda x: exact(x.w, x.h)))
+        (F.size(words) <= WINDOW) | (F.size(F.array_distinct(window_hashes)) == F.size(window_hashes)),
+        F.lit(0).cast("bigint"),
+    ).otherwise(let(F.struct(words.alias("w"), window_hashes.alias("h")), lambda x: exact(x.w, x.h)))
 
 
 def word_ids(words: Column) -> Column:
@@ -103,9 +108,19 @@ def word_ids(words: Column) -> Column:
 
 
 def window_hashes(ids: Column) -> Column:
-    """A hash of each 5-word window, in order; none for a shorter text."""
-    zipped = F.arrays_zip(*[F.slice(ids, k + 1, F.greatest(F.size(ids) - (WINDOW - 1), F.lit(0))) for k in range(WINDOW)])
-    return F.transform(zipped, lambda x: F.xxhash64(x))
+    """A hash of each 5-word window, in order; none for a shorter text.  The ids
+    are well mixed, so shifted copies of them need no more than exclusive or."""
+    zipped = F.arrays_zip(
+        *[F.slice(ids, k + 1, F.greatest(F.size(ids) - (WINDOW - 1), F.lit(0))) for k in range(WINDOW)]
+    )
+
+    def mixed(x: Column) -> Column:
+        h = x["0"]
+        for k in range(1, WINDOW):
+            h = h.bitwiseXOR(F.shiftrightunsigned(x[str(k)], 3 * k))
+        return h
+
+    return F.transform(zipped, mixed)
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -138,10 +153,14 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     """
     t = text_or_empty(text)
     n = N_CLASSES
-    by_class = docs.select(F.col(lang).alias("lang"), class_counts(t, words_of(t)).alias("c"))
+    by_class = (
+        docs.select(F.col(lang).alias("lang"), F.length(t).alias("n"), rare_characters(t).alias("rare"), words_of(t).alias("w"))
+        .withColumn("dense", F.length(F.array_join("w", "")))
+        .select("lang", F.array(*class_counts(F.col("n"), F.col("dense"), F.col("rare"))).alias("c"))
+    )
     classes = written(
         by_class.groupBy("lang").agg(
-            F.count("*").alias("docs"), *[F.sum(F.col("c")[i].cast("double")).alias(f"c{i}") for i in range(n)]
+            F.count("*").alias("docs"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)]
         ),
         "classes",
     )
@@ -154,7 +173,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     shared = common.unionByName(pooled).select(
         "lang", shares(F.array(*[F.col(f"c{i}") for i in range(n)])).alias("class_share")
     )
-    words = docs.select(F.col(lang).alias("lang"), F.explode(words_of(t)).alias("word"))
+    words = docs.select(F.col(lang).alias("lang"), F.explode(word_ids(words_of(t))).alias("word"))
     counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "vocabulary")
     everywhere = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -174,21 +193,26 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").join(
         c, F.col("a.lang").eqNullSafe(F.col("c.lang")), "left"
     )
-    top_or_none = F.coalesce(F.col("b.top"), F.array().cast("array<struct<rank:int,word:string,n:bigint>>"))
+    top_or_none = F.coalesce(F.col("b.top"), F.array().cast("array<struct<rank:int,word:bigint,n:bigint>>"))
     listed = F.aggregate(top_or_none, F.lit(0).cast("double"), lambda s, x: s + x.n)
     total = F.coalesce(F.col("c.total").cast("double"), F.lit(0.0))
     return joined.select(
         F.col("a.lang").alias("lang"),
         "class_share",
-        F.transform(top_or_none, lambda x: F.xxhash64(x.word)).alias("ids"),
+        F.transform(top_or_none, lambda x: x.word).alias("ids"),
         # a word's number at its id's place, so that most words need one look
         F.transform(
             F.sequence(F.lit(0), F.lit(BINS - 1)),
-            lambda k: F.exists(top_or_none, lambda x: F.pmod(F.xxhash64(x.word), F.lit(BINS)) == k),
+            lambda k: F.exists(top_or_none, lambda x: F.pmod(x.word, F.lit(BINS)) == k),
         ).alias("bins"),
-        shares(F.concat(F.transform(top_or_none, lambda x: x.n.cast("double")), F.array(total - listed))).alias(
-            "word_share"
-        ),
+        # the words in order, then all others; short lists are filled with zeros
+        shares(
+            F.concat(
+                F.transform(top_or_none, lambda x: x.n.cast("double")),
+                F.array_repeat(F.lit(0.0), TOP_WORDS - F.size(top_or_none)),
+                F.array(total - listed),
+            )
+        ).alias("word_share"),
     )
 
 
@@ -210,48 +234,47 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
         .withColumn("__q_windows", window_hashes(F.col("__q_ids")))
         .withColumn("__q_ref", F.coalesce(F.col(r), F.col(p)))
     )
-    w = F.col("__q_words")
-    ref_ids = F.col("__q_ref.ids")
-
-    def word_counts(at: Column) -> Column:
-        return F.concat(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(ref_ids), F.lit(1))),
-                lambda k: F.size(F.filter(at, lambda i: i == k)).cast("double"),
-            ),
-            F.array((F.size(w) - F.size(at)).cast("double")),
-        )
-
+    w, ref = F.col("__q_words"), F.col("__q_ref")
     likely = F.filter(F.col("__q_ids"), lambda x: F.get(F.col("__q_ref.bins"), F.pmod(x, F.lit(BINS)).cast("int")))
-    found = F.filter(F.transform(likely, lambda x: F.array_position(ref_ids, x)), lambda i: i > 0)
-    staged = staged.withColumn(
-        "__q_base",
-        F.struct(
-            F.size(w).cast("bigint").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
-            duplicate_lines(t).cast("bigint").alias("n_dup_lines"),
-            repeated_words(w, F.col("__q_windows")).alias("n_repeat_words"),
-        ),
+    # one character for each common word, at its number; "@" where only the place is the same
+    letters = F.array_join(
+        F.transform(likely, lambda x: F.char((F.array_position(F.col("__q_ref.ids"), x) + 64))), ""
+    )
+    staged = (
+        staged.withColumn("__q_rare", rare_characters(t))
+        .withColumn("__q_dense", F.length(F.array_join(w, "")))
+        .withColumn("__q_letters", letters)
+        .withColumn("__q_repeat", repeated_words(w, F.col("__q_windows")))
+    )
+    dense, rare, found = F.col("__q_dense"), F.col("__q_rare"), F.col("__q_letters")
+    n_words, n_repeat = F.size(w).cast("bigint"), F.col("__q_repeat")
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+    common = F.transform(
+        F.sequence(F.lit(65), F.lit(64 + TOP_WORDS)),
+        lambda k: (F.length(found) - F.length(F.replace(found, F.char(k), F.lit("")))).cast("double"),
+    )
+    staged = staged.withColumn("__q_failed", failed).withColumn(
+        "__q_classes", F.array(*class_counts(F.length(t), dense, rare))
+    ).withColumn(
+        "__q_counts",
+        let(common, lambda c: F.concat(c, F.array(n_words - F.aggregate(c, F.lit(0.0), lambda a, x: a + x)))),
     )
-    b = F.col("__q_base")
-    failed = (b.n_words < MIN_WORDS) | (100 * b.n_repeat_words > MAX_REPEAT_PERCENT * b.n_words)
     judged = staged.withColumn(
         out,
         F.struct(
-            b.n_words.alias("n_words"),
-            b.word_chars.alias("word_chars"),
-            b.n_symbols.alias("n_symbols"),
-            b.n_dup_lines.alias("n_dup_lines"),
-            b.n_repeat_words.alias("n_repeat_words"),
-            failed.alias("base_failed"),
+            n_words.alias("n_words"),
+            dense.cast("bigint").alias("word_chars"),
+            (F.length(rare) - F.length(F.regexp_replace(rare, "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
+            duplicate_lines(t).cast("bigint").alias("n_dup_lines"),
+            n_repeat.alias("n_repeat_words"),
+            F.col("__q_failed").alias("base_failed"),
             F.when(
-                ~failed & (F.length(t) >= MIN_CHARS_FOR_CLASSES),
-                divergence(shares(F.transform(class_counts(t, w), lambda c: c.cast("double"))), F.col("__q_ref.class_share")),
+                ~F.col("__q_failed") & (F.length(t) >= MIN_CHARS_FOR_CLASSES),
+                divergence(shares(F.col("__q_classes")), ref.class_share),
             ).alias("class_distance"),
             F.when(
-                ~failed & (b.n_words >= MIN_WORDS_FOR_WORDS),
-                let(found, lambda at: divergence(shares(word_counts(at)), F.col("__q_ref.word_share"))),
+                ~F.col("__q_failed") & (n_words >= MIN_WORDS_FOR_WORDS),
+                divergence(shares(F.col("__q_counts")), ref.word_share),
             ).alias("word_distance"),
         ),
     )
@@ -261,7 +284,7 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
         & (F.coalesce(F.col(out).word_distance, F.lit(0.0)) <= MAX_WORD_DISTANCE)
     )
     return judged.withColumn(out, F.col(out).withField("kept", kept)).drop(
-        "__q_words", "__q_ids", "__q_windows", "__q_lang", "__q_ref", "__q_pooled", "__q_base"
+        *["__q_" + c for c in ("words", "ids", "windows", "lang", "ref", "pooled", "rare", "dense", "letters", "repeat", "failed", "classes", "counts")]
     )
 
 
