@@ -1,12 +1,17 @@
 """The corpus pipeline: quality rules, near-duplicates, personal data, mixing,
-tokens.  Each stage takes what its predecessor wrote."""
+tokens.  Each stage takes what its predecessor wrote; all but the last return
+the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hushlake.llm.byte_bpe import digests, encoded
 from hushlake.llm.common import table, written
+from hushlake.llm.pii_spans import redact
 from hushlake.llm.quality_rules import kept_documents
+from hushlake.llm.simhash_neardup import one_of_each
+from hushlake.llm.source_mixing import mix
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,8 +19,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the first by id."""
+    return one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind in angle brackets."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by their source's rate, and shuffled."""
+    return mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and decoded bytes."""
+    done = encoded(docs, keep=("doc_id", "source"))
+    return digests(done, ("doc_id", "source"), ids=True)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("tokens", tokens),
 ]
 
 #: Stages fit models and follow links, which SQL can't express; the tests hold

@@ -197,12 +197,14 @@ def encoded(
     return inner.mapInPandas(encode, schema)
 
 
-def digests(done: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def digests(done: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+    """Counts and digests of what :func:`encoded` gives, with the ids if asked."""
     return done.select(
         *keep,
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )
 
 

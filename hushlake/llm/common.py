@@ -106,6 +106,10 @@ def running_sums(values: Column) -> Column:
     return running(values, lambda a, x: a + x, 0)
 
 
+def counted_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("bigint")
+
+
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 #: Characters of context that a span carries on either side.
 CONTEXT = 40

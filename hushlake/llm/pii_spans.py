@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosted_trees import BoostedTrees, calibrated
-from .common import joined_spans, let, ranked, regex_spans, running, table, text_or_empty
+from .common import counted_kind, joined_spans, let, ranked, regex_spans, running, table, text_or_empty
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Equal to the plain leftmost search: a match starts where a run of its first
@@ -49,6 +49,8 @@ KINDS = tuple(GENERATORS)
 #: overlap, so no more than these neighbours by start can overlap one.
 NEIGHBOURS = 48
 
+#: A word against must stand in so many characters before the candidate.
+NEAR = 16
 #: Context words (fixed values) that speak for a kind, and words against all.
 SUPPORT = {
     "natphone": ("phone", "call", "tel", "mobile", "fax", "cell", "contact", "telefon", "móvil", "téléphone"),
@@ -85,22 +87,26 @@ def features(kind: str, value: str, before: str) -> list[float]:
         sum(c in " .-/()" for c in value),
         float(_luhn(digits)),
         float(any(w in low for w in SUPPORT[kind])),
-        float(any(w in low for w in AGAINST)),
+        float(any(w in low[-NEAR:] for w in AGAINST)),
         float(before[-1:] in tuple("$€£#=")),
         float(kind == "iban" and _mod97(value) == 1),
         len(set(digits)),
     ]
 
 
+def _luhn_column(digits: Column) -> Column:
+    return F.call_function("luhn_check", digits)
+
+
 def feature_columns(kind: str, s: Column) -> list[Column]:
     digits = F.regexp_replace(s.value, "[^0-9]", "")
     low = F.lower(s.before)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
 
-    def any_of(words) -> Column:
+    def any_of(words, where: Column) -> Column:
         hit = F.lit(False)
         for w in words:
-            hit = hit | F.contains(low, F.lit(w))
+            hit = hit | F.contains(where, F.lit(w))
         return flag(hit)
 
     if kind == "iban":
@@ -120,9 +126,9 @@ def feature_columns(kind: str, s: Column) -> list[Column]:
         F.lit(float(KINDS.index(kind))),
         F.length(digits).cast("double"),
         F.length(F.regexp_replace(s.value, "[^\\x20./()-]", "")).cast("double"),
-        flag(F.luhn_check(digits)),
-        any_of(SUPPORT[kind]),
-        any_of(AGAINST),
+        flag(_luhn_column(digits)),
+        any_of(SUPPORT[kind], low),
+        any_of(AGAINST, F.right(low, F.lit(NEAR))),
         flag(s.before.rlike("[$€£#=]$")),
         check,
         F.size(F.array_remove(F.array_distinct(F.split(digits, "")), "")).cast("double"),
@@ -206,7 +212,7 @@ def base_spans(text: Column) -> dict[str, Column]:
             ),
         ),
         "card": F.filter(
-            regex_spans(text, CARD, some_digit), lambda s: F.coalesce(F.luhn_check(digits(s.value)), F.lit(False))
+            regex_spans(text, CARD, some_digit), lambda s: F.coalesce(_luhn_column(digits(s.value)), F.lit(False))
         ),
         "phone": F.filter(
             regex_spans(text, PHONE, F.contains(text, F.lit("+"))),
@@ -218,12 +224,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """Proposed spans above their thresholds: (start, rank, end, kind, score)."""
     trees, thresholds = model()
-    found = []
-    for k, (kind, pattern) in enumerate(GENERATORS.items()):
-        spans = regex_spans(text, pattern, text.rlike("[0-9]{2}"))
+
+    def of(k: int, kind: str, pattern: str) -> Column:
         scored = F.transform(
-            spans,
-            lambda s, kind=kind, k=k: F.struct(
+            regex_spans(text, pattern, text.rlike("[0-9]{2}")),
+            lambda s: F.struct(
                 s.start.alias("start"),
                 F.lit(len(BASE) + k).alias("rank"),
                 s.end.alias("end"),
@@ -231,8 +236,9 @@ def candidates(text: Column) -> Column:
                 trees.expression(feature_columns(kind, s)).alias("score"),
             ),
         )
-        bar = thresholds[kind]
-        found.append(F.filter(scored, lambda s, bar=bar: s.score >= bar))
+        return F.filter(scored, lambda s: s.score >= thresholds[kind])
+
+    found = [of(k, kind, pattern) for k, (kind, pattern) in enumerate(GENERATORS.items())]
     return F.array_sort(F.flatten(F.array(*found)))
 
 
@@ -310,7 +316,7 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFra
     return staged.withColumn(
         out,
         F.struct(
-            *[F.size(F.filter(b, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in BASE],
+            *[counted_kind(b, k).alias(f"n_{k}") for k in BASE],
             b.alias("base"),
             F.array_sort(F.concat(b, _bare(more))).alias("spans"),
         ),

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined_spans, ranked, regex_spans, running, table, text_or_empty
+from .common import counted_kind, joined_spans, ranked, regex_spans, running, table, text_or_empty
 
 ASSIGN = (
     "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -148,7 +148,7 @@ def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
         .withColumn(
             out,
             F.struct(
-                *[F.size(F.filter(b, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in BASE],
+                *[counted_kind(b, k).alias(f"n_{k}") for k in BASE],
                 b.alias("base"),
                 F.when(F.size(m) > 0, free(both)).otherwise(both).alias("spans"),
             ),

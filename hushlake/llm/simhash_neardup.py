@@ -30,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batches, table, text_or_empty, written
 
@@ -68,7 +69,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([_signed(fingerprint(t)) for t in texts], dtype="int64")
 
