@@ -13,12 +13,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushlake.functions.arrays import let, regex_spans, running, running_sums  # noqa: F401
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Matches of one text are numbered in runs of this many, so that running sums
-#: never copy an array as long as the text.
-RUN = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test or production table; the path may be in any store Spark reads."""
@@ -54,11 +52,6 @@ def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it any number of times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -68,90 +61,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def running(values: Column, merge, start: int) -> Column:
-    """Inclusive running folds of an array of integers, in two levels."""
-
-    def run_folds(run: Column, first: Column) -> Column:
-        folds = F.aggregate(
-            run, F.array(first), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x)))
-        )
-        return F.slice(folds, 2, RUN)
-
-    def spread(v: Column) -> Column:
-        runs = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda r: F.slice(v, r * RUN + 1, RUN)
-        )
-        return let(
-            runs,
-            lambda rs: F.flatten(
-                F.zip_with(
-                    rs,
-                    F.aggregate(
-                        rs,
-                        F.array(F.lit(start)),
-                        lambda acc, r: F.concat(
-                            acc, F.array(merge(F.element_at(acc, -1), F.aggregate(r, F.lit(start), merge)))
-                        ),
-                    ),
-                    # zip_with pads the run that lies past the end with null
-                    lambda r, first: F.when(r.isNull(), F.array().cast("array<int>")).otherwise(run_folds(r, first)),
-                )
-            ),
-        )
-
-    return F.when(F.size(values) > 0, let(values, spread)).otherwise(F.array().cast("array<int>"))
-
-
-def running_sums(values: Column) -> Column:
-    return running(values, lambda a, x: a + x, 0)
-
-
 def counted_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("bigint")
 
 
-SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-#: Characters of context that a span carries on either side.
-CONTEXT = 40
-
-
-def regex_spans(text: Column, pattern: str, present: Column | None = None) -> Column:
-    """Every leftmost non-overlapping match of ``pattern`` with its code points,
-    and what lies between it and its neighbours, up to CONTEXT characters.
-
-    Spark gives no positions; the lengths of the gaps between matches do.
-    ``present`` is a cheap test that holds where there is a match, so that most
-    texts stop there.
-    """
-    found = text.rlike(pattern) if present is None else present & text.rlike(pattern)
-
-    def place(x: Column) -> Column:
-        n = F.size(x.hits)
-        steps = F.zip_with(F.slice(x.gaps, 1, n), x.hits, lambda g, h: F.length(g) + F.length(h))
-        around = F.zip_with(
-            F.transform(F.slice(x.gaps, 1, n), lambda g: F.right(g, F.lit(CONTEXT))),
-            F.transform(F.slice(x.gaps, 2, n), lambda g: F.left(g, F.lit(CONTEXT))),
-            lambda b, a: F.struct(b.alias("b"), a.alias("a")),
-        )
-        placed = F.zip_with(running_sums(steps), x.hits, lambda end, h: F.struct(end.alias("end"), h.alias("h")))
-        return F.zip_with(
-            placed,
-            around,
-            lambda p, c: F.struct(
-                (p.end - F.length(p.h)).alias("start"),
-                p.end.alias("end"),
-                p.h.alias("value"),
-                c.b.alias("before"),
-                c.a.alias("after"),
-            ),
-        )
-
-    both = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
-    )
-    return F.when(found, let(both, place)).otherwise(F.array().cast(SPAN))
-
-
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` by start, then the kind's rank, comma-joined.
 
