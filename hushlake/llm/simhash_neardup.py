@@ -39,11 +39,11 @@ SEED = 42
 RADIUS = 2
 #: Children of a node, and codes that a partition is meant to hold.
 FANOUT = 16
-CODES_PER_PARTITION = 20_000
+CODES_PER_PARTITION = 1 << 17
 MAX_PARTITIONS = 4096
 #: Runs of each partition in the broadcast top of the tree: at most
-#: MAX_PARTITIONS * TOP_RUNS nodes of 24 bytes, 3 MB.
-TOP_RUNS = 32
+#: MAX_PARTITIONS * TOP_RUNS nodes of 24 bytes, 6 MB.
+TOP_RUNS = 64
 #: Pairs of query and node that a search holds at once.
 FRONTIER = 1 << 20
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
