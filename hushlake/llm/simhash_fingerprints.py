@@ -32,8 +32,8 @@ from .common import table, text_or_empty, words_of, written
 LANES = 16
 LANE_MASK = 0x0001000100010001
 MAX_WEIGHT = 8
-#: Words whose votes fit a 16-bit lane.
-BLOCK = (1 << 16) // MAX_WEIGHT - 1
+#: Words whose votes fit 15 bits, so that the top lane never reaches the sign.
+BLOCK = (1 << 15) // MAX_WEIGHT - 1
 RADIUS = 3
 CUTS = (0, 11, 22, 33, 44, 54, 64)
 AGREE = 3

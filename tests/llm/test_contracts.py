@@ -31,6 +31,7 @@ ODD = [
     (12, "same line\nsame line\nother\n\nsame line " + "one two three four five six " * 4, "en", "s"),
     (13, "ssn: 123-45-6789 iban: DE89370400440532013000 order 12345678 born: 01/02/1980", "en", "s"),
     (14, "k" * 5000 + " " + "9 8 " * 3000, "en", "s"),
+    (60, "weighty0000 " * 20000 + "last", "en", "s"),
     (15, "x7Kq9ZpL2mW8vR4tY6nB1cD3 https://a.example/x7Kq9ZpL2mW8vR4tY6nB1cD3 " + "ordinary_words_joined_by_signs", "en", "s"),
     (None, "no id here but words enough for a shingle", "en", "s"),
     (40, "The Quick brown", "en", "s"),
