@@ -58,7 +58,7 @@ def test_strict_has_no_context_rules(spark):
     assert scan(spark, [("someone@somewhere pay to", None), ("M1234567 passport", None)], strict=True) == [[], []]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab@.-+ 0123456789é😀\n⟦⟧EMAIL_", max_size=60), min_size=1, max_size=20))
 def test_spans_hold(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
