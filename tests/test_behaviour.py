@@ -129,7 +129,7 @@ def test_fusion_never_uncovers(spark):
     found = spark.createDataFrame(rows, "page_id int, id long, type string, box struct<x:double,y:double,w:double,h:double>, source string, confidence double")
     kept = spatial.fuse(found, 1280.0, 800.0).collect()
     assert sorted(r.type for r in kept) == ["EMAIL", "PHONE", "PHONE"]
-    assert all(r.box.w >= 7 for r in kept)
+    assert all(r.box.w >= 4 for r in kept)
 
 
 def test_geometry(spark):
