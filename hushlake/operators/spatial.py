@@ -103,3 +103,20 @@ def cells(box: Column, grid: int) -> Column:
     return F.flatten(
         F.transform(axis(box.x, box.w), lambda cx: F.transform(axis(box.y, box.h), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"))))
     )
+
+
+def vague_boxes_left(detections: DataFrame, read: DataFrame, page: str = "page_id") -> DataFrame:
+    """Detections without the vague ones that the page itself explains: a box of
+    the picture detector goes if half of it is text or controls that were read,
+    nothing personal and no long number is in it, and no picture lies below it.
+    ``read`` has page, kind (text, control, picture, personal), text and box."""
+    boxes = read.groupBy(page).agg(F.collect_list(F.struct("kind", "text", "box")).alias("__r"))
+    joined = detections.join(boxes, page, "left").withColumn("__r", F.coalesce("__r", F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("text"), F.col("box"))), lambda x: F.lit(False))))
+    d, r = F.col("box"), F.col("__r")
+    of = lambda *kinds: F.filter(r, lambda x: x.kind.isin(*kinds))
+    picture = F.exists(of("picture"), lambda x: g.share_inside(d, x.box) > 0.2)
+    personal = F.exists(of("personal"), lambda x: g.common_area(d, x.box) > 0)
+    number = F.exists(of("text"), lambda x: (g.common_area(d, x.box) > 0) & x.text.rlike("[0-9](?:[\\s-]?[0-9]){7,}"))
+    spoken = covered_share(d, F.transform(of("text", "control"), lambda x: x.box)) >= 0.5
+    gone = (F.col("source") == "vision") & spoken & ~picture & ~personal & ~number
+    return joined.where(~gone).drop("__r")
