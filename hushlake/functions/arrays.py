@@ -61,6 +61,47 @@ SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>
 CONTEXT = 40
 
 
+def _found(text: Column, pattern: str, present: Column | None) -> Column:
+    return text.rlike(pattern) if present is None else present & text.rlike(pattern)
+
+
+def _hits_and_gaps(text: Column, pattern: str, *more: Column) -> Column:
+    return F.struct(
+        *more,
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+        F.split(text, pattern, -1).alias("gaps"),
+    )
+
+
+def numbered_hits(k: int, text: Column, pattern: str, present: Column | None = None) -> Column:
+    """Struct of number, matches and what lies between them; null without any.
+    ``present`` is a cheap test that holds where there is a match."""
+    return F.when(_found(text, pattern, present), _hits_and_gaps(text, pattern, F.lit(k).alias("k")))
+
+
+def placed(x: Column) -> Column:
+    """Spans of hits (struct of hits and gaps) by the lengths of all before."""
+    n = F.size(x.hits)
+    steps = F.zip_with(F.slice(x.gaps, 1, n), x.hits, lambda g, h: F.length(g) + F.length(h))
+    around = F.zip_with(
+        F.transform(F.slice(x.gaps, 1, n), lambda g: F.right(g, F.lit(CONTEXT))),
+        F.transform(F.slice(x.gaps, 2, n), lambda g: F.left(g, F.lit(CONTEXT))),
+        lambda b, a: F.struct(b.alias("b"), a.alias("a")),
+    )
+    ends = F.zip_with(running_sums(steps), x.hits, lambda end, h: F.struct(end.alias("end"), h.alias("h")))
+    return F.zip_with(
+        ends,
+        around,
+        lambda p, c: F.struct(
+            (p.end - F.length(p.h)).alias("start"),
+            p.end.alias("end"),
+            p.h.alias("value"),
+            c.b.alias("before"),
+            c.a.alias("after"),
+        ),
+    )
+
+
 def regex_spans(text: Column, pattern: str, present: Column | None = None) -> Column:
     """Every leftmost non-overlapping match of ``pattern`` with its code points,
     and what lies between it and its neighbours, up to CONTEXT characters.
@@ -69,30 +110,5 @@ def regex_spans(text: Column, pattern: str, present: Column | None = None) -> Co
     ``present`` is a cheap test that holds where there is a match, so that most
     texts stop there.
     """
-    found = text.rlike(pattern) if present is None else present & text.rlike(pattern)
-
-    def place(x: Column) -> Column:
-        n = F.size(x.hits)
-        steps = F.zip_with(F.slice(x.gaps, 1, n), x.hits, lambda g, h: F.length(g) + F.length(h))
-        around = F.zip_with(
-            F.transform(F.slice(x.gaps, 1, n), lambda g: F.right(g, F.lit(CONTEXT))),
-            F.transform(F.slice(x.gaps, 2, n), lambda g: F.left(g, F.lit(CONTEXT))),
-            lambda b, a: F.struct(b.alias("b"), a.alias("a")),
-        )
-        placed = F.zip_with(running_sums(steps), x.hits, lambda end, h: F.struct(end.alias("end"), h.alias("h")))
-        return F.zip_with(
-            placed,
-            around,
-            lambda p, c: F.struct(
-                (p.end - F.length(p.h)).alias("start"),
-                p.end.alias("end"),
-                p.h.alias("value"),
-                c.b.alias("before"),
-                c.a.alias("after"),
-            ),
-        )
-
-    both = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
-    )
-    return F.when(found, let(both, place)).otherwise(F.array().cast(SPAN))
+    both = _hits_and_gaps(text, pattern)
+    return F.when(_found(text, pattern, present), let(both, placed)).otherwise(F.array().cast(SPAN))

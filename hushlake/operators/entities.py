@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import checksums
-from hushlake.functions.arrays import let, regex_spans
+from hushlake.functions.arrays import let, numbered_hits, placed
 from hushlake.functions.taxonomy import priority
 from hushlake.functions.text import EDGE
 
@@ -79,53 +79,61 @@ def _any_word(text: Column, words: Iterable[str]) -> Column:
     return found
 
 
-def _accepted(rule: Rule, span: Column, text: Column, extra: Column | None, strict: bool) -> Column:
+def _accepted(rules: list[Rule], k: Column, span: Column, text: Column, extra: Column | None, strict: bool) -> Column:
+    """Whether a match holds by the check and the context of its rule."""
     value = span.value
-    if rule.check == "verhoeff":
-        return checksums.verhoeff_valid(value)
-    if rule.check == "luhn":
-        return checksums.luhn_valid(value, 13, 19)
-    if rule.check == "pan":
-        return checksums.pan_valid(value)
-    known = F.lower(F.substring_index(value, "@", -1)).isin(*HANDLES)
-    if rule.check == "handle" and strict:
-        return known
-    words = PAY_WORDS if rule.check == "handle" else rule.context
-    if not words:
-        return F.lit(True)
-    near = F.substring(text, F.greatest(span.start - AROUND, F.lit(0)) + 1, span.end - F.greatest(span.start - AROUND, F.lit(0)) + AROUND)
+    first = F.greatest(span.start - AROUND, F.lit(0))
+    near = F.substring(text, first + 1, span.end - first + AROUND)
     window = F.lower(near if extra is None else F.concat_ws(" ", near, extra))
-    supported = _any_word(window, words)
-    return known | supported if rule.check == "handle" else supported
+    known = F.lower(F.substring_index(value, "@", -1)).isin(*HANDLES)
+
+    def holds(rule: Rule) -> Column:
+        if rule.check == "verhoeff":
+            return checksums.verhoeff_valid(value)
+        if rule.check == "luhn":
+            return checksums.luhn_valid(value, 13, 19)
+        if rule.check == "pan":
+            return checksums.pan_valid(value)
+        if rule.check == "handle":
+            return known if strict else known | _any_word(window, PAY_WORDS)
+        return _any_word(window, rule.context) if rule.context else F.lit(True)
+
+    verdict = F.lit(False)
+    for number, rule in enumerate(rules):
+        verdict = F.when(k == number, holds(rule)).otherwise(verdict)
+    return verdict
 
 
 def candidates(text: Column, context: Column | None = None, only: Iterable[str] | None = None, strict: bool = False) -> Column:
-    """All matches of all rules that are asked for, overlaps and all."""
+    """All matches of all rules that are asked for, overlaps and all.
+
+    The rules that hit form one array, whose matches are placed and checked by
+    one expression that knows its rule by number; the plan stays small."""
     wanted = set(only) if only is not None else None
-    found = []
-    for rule in RULES:
-        if (wanted is not None and rule.type not in wanted) or (strict and rule.type not in STRICT_TYPES):
-            continue
-        present = F.contains(text, F.lit(rule.needs)) if rule.needs else None
-        found.append(_matches(rule, text, context, strict, present))
-    if not found:
+    rules = [
+        r for r in RULES if (wanted is None or r.type in wanted) and (not strict or r.type in STRICT_TYPES)
+    ]
+    if not rules:
         return F.array().cast(MATCH)
-    return F.flatten(F.array(*found))
-
-
-def _matches(rule: Rule, text: Column, context: Column | None, strict: bool, present: Column | None) -> Column:
-    spans = F.filter(regex_spans(text, rule.pattern, present), lambda s: _accepted(rule, s, text, context, strict))
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            F.lit(rule.type).alias("type"),
-            s.value.alias("value"),
-            s.start.alias("start"),
-            s.end.alias("end"),
-            F.lit(rule.confidence).alias("confidence"),
-            F.lit(rule.name).alias("rule"),
-        ),
-    )
+    need = lambda r: F.contains(text, F.lit(r.needs)) if r.needs else None
+    found = F.array_compact(F.array(*[numbered_hits(k, text, r.pattern, need(r)) for k, r in enumerate(rules)]))
+
+    def of_rule(x: Column) -> Column:
+        pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), x.k)
+        kept = F.filter(placed(x), lambda s: _accepted(rules, x.k, s, text, context, strict))
+        return F.transform(
+            kept,
+            lambda s: F.struct(
+                pick(r.type for r in rules).alias("type"),
+                s.value.alias("value"),
+                s.start.alias("start"),
+                s.end.alias("end"),
+                pick(r.confidence for r in rules).alias("confidence"),
+                pick(r.name for r in rules).alias("rule"),
+            ),
+        )
+
+    return F.flatten(F.transform(found, of_rule))
 
 
 def without_overlaps(matches: Column) -> Column:
