@@ -34,8 +34,8 @@ def _step(rule: int, pos: Column, action: str, element: Column, text: Column) ->
     )
 
 
-def plan(requests: DataFrame) -> DataFrame:
-    """(request_id, rule, action, element_id, text)."""
+def plan(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(request_id, keep, rule, action, element_id, text)."""
     h, none = F.col("history"), F.lit(None)
 
     def seen(e: Column, fits) -> Column:
@@ -103,6 +103,6 @@ def plan(requests: DataFrame) -> DataFrame:
             F.array(_step(10, F.lit(0), "done", none, F.when(stop, "stopped").otherwise("filled"))),
         )
     )
-    return requests.select("request_id", F.array_min(candidates).alias("s")).select(
-        "request_id", "s.rule", "s.action", "s.element_id", "s.text"
+    return requests.select("request_id", *keep, F.array_min(candidates).alias("s")).select(
+        "request_id", *keep, "s.rule", "s.action", "s.element_id", "s.text"
     )
