@@ -290,7 +290,11 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, references(docs), out="__quality").where("__quality.kept").select(*docs.columns)
+    judged = judge(docs, references(docs), out="__quality")
+    # a filter would be pushed below the projections, and every expression of the
+    # verdict would be put into it and evaluated over and over; a generator stays
+    once = F.explode(F.when(F.col("__quality.kept"), F.array(F.lit(True))))
+    return judged.withColumn("__keep", once).select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

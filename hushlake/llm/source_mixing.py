@@ -93,8 +93,9 @@ def mix(
     if by_source.count() <= MAX_BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
     drawn = docs.drop("copy").join(by_source, F.col(source).eqNullSafe(F.col("__m_source")))
-    drawn = drawn.withColumn("__m_n", copies(seed, F.col(doc_id), F.col("__m_rate"))).where("__m_n > 0")
-    each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__m_n"))))
+    drawn = drawn.withColumn("__m_n", copies(seed, F.col(doc_id), F.col("__m_rate")))
+    # no filter on the count: it would be pushed down and drawn twice
+    each = drawn.withColumn("copy", F.explode(F.when(F.col("__m_n") > 0, F.sequence(F.lit(1), F.col("__m_n")))))
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return (
         each.withColumn("__m_order", order)
