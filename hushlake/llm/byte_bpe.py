@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from .common import arrow_batches, let, table, text_or_empty
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces in the broadcast dictionary, and bytes of a piece: 4 MB at most.
-DICTIONARY = 1 << 16
+#: Pieces in the broadcast dictionary, and bytes of a piece: 2 MB at most.
+DICTIONARY = 1 << 15
 MAX_PIECE = 48
 #: Pieces that a worker remembers beside the dictionary.
 REMEMBERED = 200_000
@@ -48,38 +48,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """(left id, right id): id of the merged token, for all splits of all tokens."""
-    pairs = {}
+def _place(left, right):
+    return (left * 31337 + right * 7919) % BUCKETS
+
+
+@lru_cache(maxsize=2)
+def _packed(path: str) -> str:
+    """The pairs that merge, of all splits of all tokens, as JSON of two arrays:
+    entries (pair * 2^17 + rank) in the order of their buckets, and where each
+    bucket starts."""
+    ranks = read_ranks(path)
+    lefts, rights, merged_to = array("q"), array("q"), array("q")
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                pairs[left, right] = rank
-    return pairs
+                lefts.append(left)
+                rights.append(right)
+                merged_to.append(rank)
+    left, right, rank = (np.frombuffer(x, dtype=np.int64) for x in (lefts, rights, merged_to))
+    place = _place(left, right)
+    order = np.argsort(place, kind="stable")
+    entries = (((left << 16) | right) << 17 | rank)[order]
+    starts = np.searchsorted(place[order], np.arange(BUCKETS + 1))
+    return f'{{"e":[{",".join(map(str, entries))}],"s":[{",".join(map(str, starts))}]}}'
 
 
-def _place(left, right):
-    return (left * 31337 + right * 7919) % BUCKETS
-
+def rank_map(path: str) -> Column:
+    """The pairs as a literal: from_json of a literal is folded into one, once,
+    when the plan is made."""
+    kind = T.StructType([T.StructField("e", T.ArrayType(T.LongType())), T.StructField("s", T.ArrayType(T.IntegerType()))])
+    return F.from_json(F.lit(_packed(path)), kind)
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The pairs as a literal array of buckets; an entry is pair * 2^17 + rank."""
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for (left, right), rank in pair_ranks(ranks).items():
-        buckets[_place(left, right)].append((((left << 16) | right) << 17) | rank)
-    # from_json of a literal is folded into a literal once, when the plan is made
-    return F.from_json(F.lit(json.dumps({"b": buckets})), T.StructType([T.StructField("b", T.ArrayType(T.ArrayType(T.LongType())))])).b
 
-
-def merged(ids: Column, buckets: Column) -> Column:
+def merged(ids: Column, pairs: Column) -> Column:
     """Fold the ranked merges over an array of byte ids: each step joins the
     leftmost pair of least rank, until no pair has one."""
 
     def rank_of(left: Column, right: Column) -> Column:
-        entry = F.get(
-            F.filter(F.get(buckets, _place(left, right).cast("int")), lambda e: F.shiftright(e, 17) == left * 65536 + right), 0
-        )
+        bucket = _place(left, right).cast("int")
+        first = F.get(pairs.s, bucket)
+        entries = F.slice(pairs.e, first + 1, F.get(pairs.s, bucket + 1) - first)
+        entry = F.get(F.filter(entries, lambda e: F.shiftright(e, 17) == left * 65536 + right), 0)
         return entry.bitwiseAND(F.lit((1 << 17) - 1))
 
     def step(acc: Column, _: Column) -> Column:
@@ -96,8 +106,9 @@ def merged(ids: Column, buckets: Column) -> Column:
     return F.aggregate(F.slice(ids, 2, F.size(ids)), ids, step)
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", size: int = DICTIONARY) -> DataFrame:
+def dictionary(docs: DataFrame, path: str, pattern: str, text: str = "text", size: int = DICTIONARY) -> DataFrame:
     """(piece, ids) of the commonest pieces of all texts."""
+    ranks = read_ranks(path)
     java = pattern.replace("\\s", "\\p{IsWhite_Space}").replace("\\S", "\\P{IsWhite_Space}")
     pieces = docs.select(F.explode(F.regexp_extract_all(text_or_empty(text), F.lit(java), F.lit(0))).alias("piece"))
     common = (
@@ -116,7 +127,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     return (
         common.repartition(F.col("piece"))
         .withColumn("bytes", ids)
-        .select("piece", merged(F.col("bytes"), rank_map(ranks)).alias("ids"))
+        .select("piece", merged(F.col("bytes"), rank_map(path)).alias("ids"))
     )
 
 
@@ -174,10 +185,18 @@ def encoded(
     """``keep`` with the ids of each text and the bytes that they decode to."""
     spark = docs.sparkSession
     arrow_batches(spark, 200)
-    ranks = read_ranks(path or public_tokenizers.path(RANKS))
-    rows = dictionary(docs, ranks, pattern, text).collect()  # DICTIONARY rows at most
-    known = {r.piece: array("I", r.ids).tobytes() for r in rows}
-    shared = spark.sparkContext.broadcast((known, ranks))
+    path = path or public_tokenizers.path(RANKS)
+    # DICTIONARY rows at most; Arrow holds them without an object for each number
+    rows = dictionary(docs, path, pattern, text).toArrow()
+    known = {}
+    for batch in rows.to_batches():
+        ids, ends = batch.column("ids"), batch.column("ids").offsets.to_numpy()
+        flat = ids.values.to_numpy().astype("<u4")
+        for k, piece in enumerate(batch.column("piece").to_pylist()):
+            known[piece] = flat[ends[k] : ends[k + 1]].tobytes()
+    del rows
+    shared = spark.sparkContext.broadcast((known, read_ranks(path)))
+    del known
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, ranks = shared.value

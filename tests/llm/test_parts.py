@@ -52,7 +52,7 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, parts):
 def test_folded_merges_equal_heap_merges(spark):
     ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS))
     docs = spark.createDataFrame([("the quick brown thndernt hehäéç 你好 12345 ---- a",), ("the the aaaaaaaa",)], "text string")
-    rows = byte_bpe.dictionary(docs, ranks, public_tokenizers.PATTERN).collect()
+    rows = byte_bpe.dictionary(docs, public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN).collect()
     assert len(rows) > 10
     for r in rows:
         assert list(r.ids) == byte_bpe.merge_bytes(r.piece.encode(), ranks, shortcut=False)
