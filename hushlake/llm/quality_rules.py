@@ -4,6 +4,8 @@ Every document gets a character-class histogram and a histogram of its
 language's most common words.  Both are compared with references of the
 document's declared language by the Jensen-Shannon distance (base 2, so 0 to
 1).  The references are gathered by grouped aggregation over all documents.
+The bound of the word distance follows from the reference and the length of
+the text, and lies below the distance of a text in another language.
 Guards of minimum length keep short texts from being judged by a histogram
 that they are too short to fill.
 
@@ -16,6 +18,8 @@ kept; one named like ``out`` is replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +41,19 @@ MAX_LANGUAGES = 64
 MIN_CHARS_FOR_CLASSES = 200
 MAX_CLASS_DISTANCE = 0.30
 MIN_WORDS_FOR_WORDS = 60
+#: Bound of the word distance where the language is not known, or where a text
+#: is too short to be expected to hold MIN_LISTED words of its reference.
 MAX_WORD_DISTANCE = 0.55
+MIN_LISTED = 12
+#: Else the bound follows from the reference.  ``word_none`` is the distance of
+#: a text without any listed word.  Of its square, a text of the language may
+#: have OWN_SHARE, and what a sample of its length has by chance, but never
+#: NONE_SHARE.
+OWN_SHARE = 0.30
+NONE_SHARE = 0.81
+
+#: What a text is compared with.
+REFERENCE = ("known", "class_share", "ids", "bins", "word_share", "word_none")
 
 #: Patterns whose matched characters are counted; the rest is the last class.
 N_CLASSES = 5
@@ -144,8 +160,19 @@ def shares(counts: Column) -> Column:
     return let(total, lambda t: F.transform(counts, lambda c: F.when(t > 0, c / t).otherwise(F.lit(0.0))))
 
 
+def word_bar(n_words: Column, ref: Column) -> Column:
+    """The greatest word distance that a text of ``n_words`` words may have.  The
+    expected squared distance of a sample is the number of its free shares over
+    8 n ln 2."""
+    none = ref.word_none * ref.word_none
+    chance = F.size(ref.ids) / (8 * math.log(2) * n_words)
+    listed = n_words * (1 - F.get(ref.word_share, F.lit(TOP_WORDS)))
+    own = F.sqrt(F.least(NONE_SHARE * none, OWN_SHARE * none + chance))
+    return F.when(ref.known & (listed >= MIN_LISTED), F.least(own, F.lit(MAX_WORD_DISTANCE))).otherwise(F.lit(MAX_WORD_DISTANCE))
+
+
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, class_share, ids, bins, word_share) of at most MAX_LANGUAGES languages,
+    """(lang, known, class_share, ids, bins, word_share, word_none) of at most MAX_LANGUAGES languages,
     and of all documents together under a null ``lang``.
 
     Word counts are summed before the shuffle, and the rank limit is applied in
@@ -196,8 +223,10 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     top_or_none = F.coalesce(F.col("b.top"), F.array().cast("array<struct<rank:int,word:bigint,n:bigint>>"))
     listed = F.aggregate(top_or_none, F.lit(0).cast("double"), lambda s, x: s + x.n)
     total = F.coalesce(F.col("c.total").cast("double"), F.lit(0.0))
-    return joined.select(
+    none = F.concat(F.array_repeat(F.lit(0.0), TOP_WORDS), F.array(F.lit(1.0)))
+    refs = joined.select(
         F.col("a.lang").alias("lang"),
+        F.col("a.lang").isNotNull().alias("known"),
         "class_share",
         F.transform(top_or_none, lambda x: x.word).alias("ids"),
         # a word's number at its id's place, so that most words need one look
@@ -214,6 +243,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
             )
         ).alias("word_share"),
     )
+    return refs.withColumn("word_none", divergence(none, F.col("word_share")))
 
 
 def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
@@ -221,8 +251,8 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
     pooled = refs.where("lang is null").drop("lang")
     own = refs.where("lang is not null")
     r, p = "__q_ref", "__q_pooled"
-    refs_of = own.select(F.col("lang").alias("__q_lang"), F.struct("class_share", "ids", "bins", "word_share").alias(r))
-    pooled_one = pooled.select(F.struct("class_share", "ids", "bins", "word_share").alias(p))
+    refs_of = own.select(F.col("lang").alias("__q_lang"), F.struct(*REFERENCE).alias(r))
+    pooled_one = pooled.select(F.struct(*REFERENCE).alias(p))
     t = text_or_empty(text)
     # the references are at most MAX_LANGUAGES + 1 rows of TOP_WORDS words
     staged = (
@@ -281,7 +311,7 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
     kept = (
         ~F.col(out).base_failed
         & (F.coalesce(F.col(out).class_distance, F.lit(0.0)) <= MAX_CLASS_DISTANCE)
-        & (F.coalesce(F.col(out).word_distance, F.lit(0.0)) <= MAX_WORD_DISTANCE)
+        & (F.coalesce(F.col(out).word_distance, F.lit(0.0)) <= word_bar(n_words, ref))
     )
     return judged.withColumn(out, F.col(out).withField("kept", kept)).drop(
         *["__q_" + c for c in ("words", "ids", "windows", "lang", "ref", "pooled", "rare", "dense", "letters", "repeat", "failed", "classes", "counts")]
