@@ -10,8 +10,8 @@ Guards of minimum length keep short texts from being judged by a histogram
 that they are too short to fill.
 
 Defined results for odd input: a null or empty text has no words and fails the
-base rule; a language that is null or has no reference of its own is compared
-with the pooled reference of all documents; repeated rows are judged alike,
+base rule; a null language is compared with the pooled reference of all
+documents; repeated rows are judged alike,
 row by row; an empty table gives an empty result.  Columns of the input are
 kept; one named like ``out`` is replaced.
 """
@@ -34,9 +34,9 @@ TOP_WORDS = 32
 BINS = 1024
 #: Repeated hashes up to which a text's windows are looked up one by one.
 LOOKED_UP = 64
-#: The commonest languages have references of their own; the table of
-#: references is broadcast, and this bounds it.
-MAX_LANGUAGES = 64
+#: References of the commonest languages that are broadcast, of 2 KB each; those
+#: of further languages are joined to their documents.
+BROADCAST_LANGUAGES = 4096
 #: Guards and thresholds of the two comparisons.
 MIN_CHARS_FOR_CLASSES = 200
 MAX_CLASS_DISTANCE = 0.30
@@ -172,7 +172,7 @@ def word_bar(n_words: Column, ref: Column) -> Column:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, known, class_share, ids, bins, word_share, word_none) of at most MAX_LANGUAGES languages,
+    """(lang, docs, known, class_share, ids, bins, word_share, word_none) of every language,
     and of all documents together under a null ``lang``.
 
     Word counts are summed before the shuffle, and the rank limit is applied in
@@ -191,14 +191,12 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
         ),
         "classes",
     )
-    common = (
-        classes.where("lang is not null").orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).select("lang", "docs", *[f"c{i}" for i in range(n)])
-    )
+    each = classes.where("lang is not null").select("lang", "docs", *[f"c{i}" for i in range(n)])
     pooled = classes.agg(*[F.sum(c).alias(c) for c in ("docs", *[f"c{i}" for i in range(n)])]).select(
         F.lit(None).cast("string").alias("lang"), "docs", *[f"c{i}" for i in range(n)]
     )
-    shared = common.unionByName(pooled).select(
-        "lang", shares(F.array(*[F.col(f"c{i}") for i in range(n)])).alias("class_share")
+    shared = each.unionByName(pooled).select(
+        "lang", "docs", shares(F.array(*[F.col(f"c{i}") for i in range(n)])).alias("class_share")
     )
     words = docs.select(F.col(lang).alias("lang"), F.explode(word_ids(words_of(t))).alias("word"))
     counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "vocabulary")
@@ -226,6 +224,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     none = F.concat(F.array_repeat(F.lit(0.0), TOP_WORDS), F.array(F.lit(1.0)))
     refs = joined.select(
         F.col("a.lang").alias("lang"),
+        "docs",
         F.col("a.lang").isNotNull().alias("known"),
         "class_share",
         F.transform(top_or_none, lambda x: x.word).alias("ids"),
@@ -243,21 +242,37 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
             )
         ).alias("word_share"),
     )
-    return refs.withColumn("word_none", divergence(none, F.col("word_share")))
+    return written(refs.withColumn("word_none", divergence(none, F.col("word_share"))), "references")
+
+
+def with_references(docs: DataFrame, refs: DataFrame, lang: str, out: str) -> DataFrame:
+    """``docs`` with the reference of their language in ``out``, null without one.
+
+    The commonest languages are broadcast.  Where there are more, only documents
+    of the others are shuffled, and none of those languages is a hot key."""
+    own = refs.where("lang is not null")
+
+    def joined(left: DataFrame, right: DataFrame, send: bool) -> DataFrame:
+        named = right.select(F.col("lang").alias("__q_lang"), F.struct(*REFERENCE).alias(out))
+        return left.join(F.broadcast(named) if send else named, F.col(lang) == F.col("__q_lang"), "left").drop("__q_lang")
+
+    if own.count() <= BROADCAST_LANGUAGES:
+        return joined(docs, own, True)
+    common = written(own.orderBy(F.desc("docs"), "lang").limit(BROADCAST_LANGUAGES), "common-references")
+    rare = own.join(F.broadcast(common.select("lang")), "lang", "left_anti")
+    first = joined(docs, common, True)
+    further = F.col(out).isNull() & F.col(lang).isNotNull()
+    return first.where(~further).unionByName(joined(first.where(further).drop(out), rare, False))
 
 
 def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
     """``docs`` with a struct ``out``: the base counts, both distances, the verdict."""
     pooled = refs.where("lang is null").drop("lang")
-    own = refs.where("lang is not null")
     r, p = "__q_ref", "__q_pooled"
-    refs_of = own.select(F.col("lang").alias("__q_lang"), F.struct(*REFERENCE).alias(r))
     pooled_one = pooled.select(F.struct(*REFERENCE).alias(p))
     t = text_or_empty(text)
-    # the references are at most MAX_LANGUAGES + 1 rows of TOP_WORDS words
     staged = (
-        docs.drop(out)
-        .join(F.broadcast(refs_of), F.col(lang) == F.col("__q_lang"), "left")
+        with_references(docs.drop(out), refs, lang, r)
         .join(F.broadcast(pooled_one), F.lit(True), "left")
         .withColumn("__q_words", words_of(t))
         .withColumn("__q_ids", word_ids(F.col("__q_words")))
@@ -314,7 +329,7 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
         & (F.coalesce(F.col(out).word_distance, F.lit(0.0)) <= word_bar(n_words, ref))
     )
     return judged.withColumn(out, F.col(out).withField("kept", kept)).drop(
-        *["__q_" + c for c in ("words", "ids", "windows", "lang", "ref", "pooled", "rare", "dense", "letters", "repeat", "failed", "classes", "counts")]
+        *["__q_" + c for c in ("words", "ids", "windows", "ref", "pooled", "rare", "dense", "letters", "repeat", "failed", "classes", "counts")]
     )
 
 

@@ -23,3 +23,17 @@ def test_a_wrong_language_is_rejected(spark, sf, references):
     # no declared language, no wrong one
     unknown = quality_rules.judge(right.withColumn("lang", F.lit(None).cast("string")), references)
     assert unknown.where("quality.kept").count() >= 0.95 * right.count()
+
+
+@pytest.mark.parametrize("sent", [4096, 3])
+def test_every_language_has_a_reference(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LANGUAGES", sent, raising=False)
+    latin = " ".join(f"word{k % 7}{'abcdefghijk'[k % 11]} The{k % 5}" for k in range(200))
+    rows = [(f"l{k:02d}", latin) for k in range(70) for _ in range(2)]
+    rows += [("zz", " ".join(chr(0x4E00 + 7 * k) * 3 for k in range(120)))] + [(None, latin)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    refs = quality_rules.references(docs)
+    assert refs.count() == 72
+    got = quality_rules.judge(docs, refs).select("lang", "quality.class_distance").collect()
+    assert len(got) == len(rows)
+    assert [r.class_distance for r in got if r.lang == "zz"] == [pytest.approx(0, abs=1e-6)]
