@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_batches, table, text_or_empty, written
+from .similar_texts import similar_links
 
 SHINGLE = 3
 SEED = 42
@@ -299,9 +300,26 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def with_similar(docs: DataFrame, t: Column, printed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` and those between the fingerprints of similar texts."""
+    prints = written(printed.select("row_hash", "fp").distinct(), "text-fingerprints")
+    side = lambda x: prints.select(F.col("row_hash").alias(x), F.col("fp").alias("f" + x))
+
+    def added(pairs: DataFrame) -> DataFrame:
+        named = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        return edges.unionByName(named.where("a <> b")).distinct()
+
+    def groups(pairs: DataFrame) -> DataFrame:
+        comp = components(added(pairs))
+        return prints.join(comp, F.col("fp") == F.col("node"), "left").select("row_hash", F.coalesce("root", "fp").alias("root"))
+
+    return written(added(similar_links(docs, t, groups)), "all-links")
+
+
+def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: bool = False) -> DataFrame:
     """(doc_id, row_hash, fp, first): a row for each of ``docs``; ``first`` is
-    the least (id is null, id, row hash) of its component."""
+    the least (id is null, id, row hash) of its component.  ``similar`` links
+    similar texts too, however far apart their fingerprints are."""
     spark = docs.sparkSession
     arrow_batches(spark)
     t = text_or_empty(text)
@@ -312,6 +330,8 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_hash").alias("h"))
     distinct = written(printed.groupBy("fp").agg(F.min(me).alias("first")), "distinct-fingerprints")
     edges = written(links(distinct.select(F.col("fp").alias("code"))), "fingerprint-links")
+    if similar:
+        edges = with_similar(docs, t, printed, edges)
     if edges.isEmpty():
         firsts = distinct
     else:
@@ -323,11 +343,11 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return printed.join(firsts, "fp").select("doc_id", "row_hash", "fp", "first")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: bool = False) -> DataFrame:
     """The first document of each group, with the columns it came with."""
     none = F.lit(-(1 << 63)).cast("bigint")
     chosen = (
-        grouped(docs, text, doc_id)
+        grouped(docs, text, doc_id, similar)
         .select(F.coalesce(F.col("first.id"), none).alias("__n_id"), F.col("first.h").alias("__n_hash"))
         .distinct()
     )

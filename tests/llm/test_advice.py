@@ -1,5 +1,8 @@
 """Cases that an earlier version left out."""
 
+import random
+
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +40,39 @@ def test_every_language_has_a_reference(spark, monkeypatch, sent):
     got = quality_rules.judge(docs, refs).select("lang", "quality.class_distance").collect()
     assert len(got) == len(rows)
     assert [r.class_distance for r in got if r.lang == "zz"] == [pytest.approx(0, abs=1e-6)]
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(4)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def changed(text, k):
+        out = list(text)
+        for at in range(k):
+            out[at * (len(out) // k) + 7] = f"x{rng.randrange(10**6)}"
+        return out
+
+    def alike(a, b):
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b) >= 0.8
+
+    license_ = words(40)
+    texts = []
+    for _ in range(12):
+        one = words(200) + license_
+        texts += [one, changed(one, 2), changed(one, 3), changed(one, 4), changed(one, 9), list(one)]
+    up = list(range(len(texts)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, "a b"), (901, "A  b"), (902, None), (903, "")], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted({root(i) for i in range(len(texts))} | {900, 902})
+    assert 12 < len(got) < 50
