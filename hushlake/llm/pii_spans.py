@@ -3,7 +3,7 @@
 Four base kinds are found by pattern and check: e-mail and IP addresses, card
 and telephone numbers.  Beyond them, generators of high recall propose spans
 that may overlap: national telephone numbers, social security numbers, bank
-accounts, long numbers, dates.  Each candidate has features of its format and
+accounts, long numbers, dates, card numbers in longer runs of digits.  Each candidate has features of its format and
 its context; boosted trees score it, and a threshold per kind, calibrated for
 precision on held-out candidates, selects.  Of overlapping candidates the best
 stays; one that overlaps a base span goes.  The trees are fitted here, on
@@ -43,6 +43,8 @@ GENERATORS = {
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "account": "(?<![A-Za-z0-9.,-])[0-9]{8,19}(?![A-Za-z0-9-]|[.,][0-9])",
     "birthdate": "(?<![0-9/.-])(?:[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])",
+    # one card's groups, or one group, in a run that the base rule takes as a whole
+    "cardnumber": "(?<![0-9])(?<![A-Za-z0-9][.,])(?:[0-9]{4}([\\x20-])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?:\\1[0-9]{1,3})?|[0-9]{4}[\\x20-][0-9]{6}[\\x20-][0-9]{4,5}|[0-9]{13,19})(?![0-9]|[.,][0-9])",
 }
 KINDS = tuple(GENERATORS)
 #: A candidate has 8 to 44 characters and those of one generator do not
@@ -58,6 +60,7 @@ SUPPORT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer"),
     "account": ("account", "acct", "a/c", "card", "karte", "carte", "tarjeta", "passport", "konto", "license", "licence", "member"),
     "birthdate": ("born", "birth", "dob", "geboren", "né le", "née le", "nacid", "birthday"),
+    "cardnumber": ("card", "karte", "carte", "tarjeta", "visa", "credit", "payment"),
 }
 AGAINST = ("order", "invoice", "version", "ticket", "serial", "part no", "sku", "isbn", "build", "issue", "ref", "page", "model", "total")
 FEATURES = ("kind", "digits", "separators", "luhn", "support", "against", "sign", "check", "distinct")
@@ -153,6 +156,15 @@ def made_up(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     def number() -> str:
         return digit(int(rng.integers(8, 20)))
 
+    def card(real: bool) -> str:
+        few = list("0123456789") if rng.random() < 0.7 else list(digit(2))
+        v = "".join(rng.choice(few, int(rng.integers(12, 19))))
+        ends = [v + c for c in "0123456789" if _luhn(v + c) == real]
+        v = str(rng.choice(ends))
+        if len(v) == 16 and rng.random() < 0.5:
+            return str(rng.choice(["-", " "])).join(v[k : k + 4] for k in range(0, 16, 4))
+        return v
+
     x, y = [], []
     for _ in range(n):
         kind = KINDS[int(rng.integers(len(KINDS)))]
@@ -181,6 +193,9 @@ def made_up(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         elif kind == "account":
             value = number()
             label = place == "support"
+        elif kind == "cardnumber":
+            value = card(rng.random() < 0.5)
+            label = _luhn("".join(c for c in value if c in "0123456789")) and place != "against"
         else:
             value = f"{int(rng.integers(1, 29)):02d}/{int(rng.integers(1, 13)):02d}/{int(rng.integers(1930, 2024))}"
             label = place == "support"

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from hushlake.llm import quality_rules
+from hushlake.llm import pii_spans, quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,20 @@ def test_near_copies_go(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == sorted({root(i) for i in range(len(texts))} | {900, 902})
     assert 12 < len(got) < 50
+
+
+def test_card_numbers_in_longer_runs(spark):
+    texts = [
+        "the numbers 7536784127813050 4845168114407329 here",
+        "so 4111 1111 1111 1111 4012 8888 8888 1881 and",
+        "see 7536784127813050 1234567812345678 there",
+        "see 1234567812345678 1234567812345679 there",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[s.kind + ":" + texts[r.doc_id][s.start : s.end] for s in r.pii.spans] for r in pii_spans.with_spans(docs).orderBy("doc_id").collect()]
+    assert got == [
+        ["cardnumber:7536784127813050", "cardnumber:4845168114407329"],
+        ["cardnumber:4111 1111 1111 1111", "cardnumber:4012 8888 8888 1881"],
+        ["cardnumber:7536784127813050"],
+        [],
+    ]
