@@ -40,8 +40,10 @@ WINDOW = 20
 THRESHOLDS = (
     ("digits", "^[0-9]+$", 99.0),
     ("hex", "^[0-9A-Fa-f]+$", 3.0),
-    ("lower", "^[a-z]+$", 99.0),
-    ("upper", "^[A-Z]+$", 99.0),
+    # the long words of sf0.1 reach 3.58
+    ("lower", "^[a-z]+$", 3.65),
+    ("upper", "^[A-Z]+$", 3.65),
+    ("letters", "^[A-Za-z]+$", 3.7),
     ("alnum", "^[A-Za-z0-9]+$", 3.7),
     ("mixed", "^", 3.9),
 )
@@ -49,10 +51,13 @@ THRESHOLDS = (
 ALLOWED = (
     "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # identifiers
     "(?i)example|placeholder|changeme|dummy|xxxx|1234567",
-    "^[A-Za-z]*[a-z]*(?:[-_/=+][A-Za-z]*)*$",  # words joined by signs, no digit
+    "^[a-z]*+(?:[A-Z][a-z]++)++$",  # capitalised words
+    # words of less than 20 letters joined by signs, no digit
+    "^(?=[A-Za-z]*+[-_/=+])(?![A-Za-z+/_=-]*?[A-Za-z]{20})(?:(?:[A-Z]++(?![a-z])|[a-z]*+(?:[A-Z][a-z]++)*+)(?:[-_/=+]++|$))++$",
     "^[0-9+/_=-]+$",  # dates, numbers, rules
 )
-ALLOWED_BEFORE = "(?:://[^\\x20\\x09-\\x0D]*|www\\.[^\\x20\\x09-\\x0D]*|@[A-Za-z0-9.-]*|sha(?:1|256|384|512)-)$"
+#: In links only host and path are harmless.
+ALLOWED_BEFORE = "(?:://(?:[^\\x20\\x09-\\x0D?#]*[^\\x20\\x09-\\x0D?#:])?|www\\.[^\\x20\\x09-\\x0D?#]*|@[A-Za-z0-9.-]*|sha(?:1|256|384|512)-)$"
 
 
 def _c_log_c(n: Column) -> Column:

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from hushlake.llm import pii_spans, quality_rules
+from hushlake.llm import pii_spans, quality_rules, secret_scan
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,19 @@ def test_card_numbers_in_longer_runs(spark):
         ["cardnumber:7536784127813050"],
         [],
     ]
+
+
+def test_keys_of_letters_and_in_links(spark):
+    texts = [
+        "key qzjxkvbwpyhmfgtdlcnrsaoe end",
+        "key QZJXKVBWPYHMFGTDLCNRSAOE end",
+        "key qZJxkVBwpyHMfgTDlcNRsaOE end",
+        "key qZJxkVBwpyHMf-gTDlcNRsaOEiU end",
+        "see https://a.test/get?sig=x7Kq9ZpL2mW8vR4tY6nB1cD3",
+        "see https://a.test/x7Kq9ZpL2mW8vR4tY6nB1cD3 and ordinary_words_joined_by_signs",
+        "Donaudampfschifffahrtsgesellschaft internationalization getUserAccountInformationByIdentifier",
+        "MAX_CONNECTION_TIMEOUT_SECONDS some-Words/Joined=byManySigns",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[texts[r.doc_id][s.start : s.end] for s in r.secrets.spans] for r in secret_scan.with_secrets(docs).orderBy("doc_id").collect()]
+    assert got == [[t.split()[1]] for t in texts[:4]] + [["sig=x7Kq9ZpL2mW8vR4tY6nB1cD3"], [], [], []]
