@@ -3,16 +3,19 @@
 A first pass counts the distinct pieces of all texts.  The commonest of them,
 a bounded number, are encoded in Spark: higher-order functions fold the ranked
 merges over the array of a piece's bytes, looking pairs up in a rank map that
-is a literal of the plan.  The encoded pieces are broadcast, and one pass over
+is a literal of one row.  The encoded pieces are broadcast, and one pass over
 the texts replaces each piece by its ids; a piece outside the dictionary is
 folded there by the same ranked merges, so nothing is dropped or approximated.
 Decoding concatenates the byte strings of the ids.
 
-The pass over the texts is Python (Arrow batches): joining pieces to documents
-by a shuffle would move several times the input.
+Which pieces are commonest follows from a histogram of their counts, so no
+task sorts or sees them all.  The pass over the texts is Python (Arrow
+batches): joining pieces to documents by a shuffle would move several times
+the input.
 
 Defined results for odd input: a null or empty text has no ids; ids of
-repeated rows are equal; texts of any length are encoded whole, long pieces by
+repeated rows are equal, columns beside the text are handed through as they
+are, nulls included; texts of any length are encoded whole, long pieces by
 a heap in n log n; an empty table gives an empty result.
 """
 
@@ -22,25 +25,28 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, let, table, text_or_empty
+from .common import blocks_of_texts, forget, let, table, text_or_empty, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces in the broadcast dictionary, and bytes of a piece: 2 MB at most.
-DICTIONARY = 1 << 15
+#: Pieces in the broadcast dictionary, and bytes of a piece: 4 MB at most.
+DICTIONARY = 1 << 16
 MAX_PIECE = 48
+#: Bins of the histogram of counts for each doubling, and pieces that one row
+#: of the fold holds.
+BINS = 16
+FOLDED = 512
 #: Pieces that a worker remembers beside the dictionary.
 REMEMBERED = 200_000
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,11 +58,10 @@ def _place(left, right):
     return (left * 31337 + right * 7919) % BUCKETS
 
 
-@lru_cache(maxsize=2)
-def _packed(path: str) -> str:
-    """The pairs that merge, of all splits of all tokens, as JSON of two arrays:
-    entries (pair * 2^17 + rank) in the order of their buckets, and where each
-    bucket starts."""
+def rank_map(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the pairs that merge, of all splits of all tokens.  ``e`` has
+    entries (pair * 2^17 + rank) in the order of their buckets, ``s`` where each
+    bucket starts.  Its size is that of the vocabulary."""
     ranks = read_ranks(path)
     lefts, rights, merged_to = array("q"), array("q"), array("q")
     for token, rank in ranks.items():
@@ -70,15 +75,9 @@ def _packed(path: str) -> str:
     place = _place(left, right)
     order = np.argsort(place, kind="stable")
     entries = (((left << 16) | right) << 17 | rank)[order]
-    starts = np.searchsorted(place[order], np.arange(BUCKETS + 1))
-    return f'{{"e":[{",".join(map(str, entries))}],"s":[{",".join(map(str, starts))}]}}'
-
-
-def rank_map(path: str) -> Column:
-    """The pairs as a literal: from_json of a literal is folded into one, once,
-    when the plan is made."""
-    kind = T.StructType([T.StructField("e", T.ArrayType(T.LongType())), T.StructField("s", T.ArrayType(T.IntegerType()))])
-    return F.from_json(F.lit(_packed(path)), kind)
+    starts = np.searchsorted(place[order], np.arange(BUCKETS + 1)).astype(np.int32)
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+    return spark.createDataFrame(pa.table({"e": one(entries), "s": one(starts)}))
 
 
 def merged(ids: Column, pairs: Column) -> Column:
@@ -86,9 +85,10 @@ def merged(ids: Column, pairs: Column) -> Column:
     leftmost pair of least rank, until no pair has one."""
 
     def rank_of(left: Column, right: Column) -> Column:
+        # get() takes one number from a large array, slice() would copy it all
         bucket = _place(left, right).cast("int")
-        first = F.get(pairs.s, bucket)
-        entries = F.slice(pairs.e, first + 1, F.get(pairs.s, bucket + 1) - first)
+        first, end = F.get(pairs.s, bucket), F.get(pairs.s, bucket + 1)
+        entries = F.transform(F.when(end > first, F.sequence(first, end - 1)), lambda j: F.get(pairs.e, j))
         entry = F.get(F.filter(entries, lambda e: F.shiftright(e, 17) == left * 65536 + right), 0)
         return entry.bitwiseAND(F.lit((1 << 17) - 1))
 
@@ -106,29 +106,55 @@ def merged(ids: Column, pairs: Column) -> Column:
     return F.aggregate(F.slice(ids, 2, F.size(ids)), ids, step)
 
 
-def dictionary(docs: DataFrame, path: str, pattern: str, text: str = "text", size: int = DICTIONARY) -> DataFrame:
-    """(piece, ids) of the commonest pieces of all texts."""
-    ranks = read_ranks(path)
+def commonest(pieces: DataFrame, size: int) -> DataFrame:
+    """Of (piece, n), a written table, those from the least count on with which
+    there are no more than ``size``; of pieces with that count alone, none or all."""
+    bins = pieces.groupBy(F.floor(F.log2("n") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("pieces"))
+    least, total = None, 0
+    for row in sorted(bins.collect(), reverse=True):  # at most 63 * BINS rows
+        total += row.pieces
+        if total > size:
+            break
+        least = row.bin
+    return pieces.where(F.floor(F.log2("n") * BINS) >= least) if least is not None else pieces.limit(0)
+
+
+def counted_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """(piece, n) of all distinct pieces that the dictionary can hold."""
     java = pattern.replace("\\s", "\\p{IsWhite_Space}").replace("\\S", "\\P{IsWhite_Space}")
     pieces = docs.select(F.explode(F.regexp_extract_all(text_or_empty(text), F.lit(java), F.lit(0))).alias("piece"))
-    common = (
-        pieces.groupBy("piece")
-        .agg(F.count("*").alias("n"))
-        .where(F.octet_length("piece") <= MAX_PIECE)
-        .orderBy(F.desc("n"), "piece")
-        .limit(size)
-    )
+    counts = pieces.where(F.octet_length("piece") <= MAX_PIECE).groupBy("piece").agg(F.count("*").alias("n"))
+    return written(counts, "pieces")
+
+
+def folded(pieces: DataFrame, path: str) -> DataFrame:
+    """(piece, ids) of all of ``pieces``, by the fold of the ranked merges."""
+    spark = pieces.sparkSession
+    ranks = read_ranks(path)
     byte_ids = F.array(*[F.lit(ranks[bytes([b])]).cast("bigint") for b in range(256)])
-    digits = F.hex(F.encode("piece", "UTF-8"))
-    ids = F.transform(
-        F.sequence(F.lit(0), F.octet_length("piece") - 1),
-        lambda i: F.get(byte_ids, F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")),
-    )
-    return (
-        common.repartition(F.col("piece"))
-        .withColumn("bytes", ids)
-        .select("piece", merged(F.col("bytes"), rank_map(path)).alias("ids"))
-    )
+
+    def ids_of(piece: Column, pairs: Column) -> Column:
+        digits = F.hex(F.encode(piece, "UTF-8"))
+        ids = F.transform(
+            F.sequence(F.lit(0), F.octet_length(piece) - 1),
+            lambda i: F.get(byte_ids, F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")),
+        )
+        return merged(ids, pairs)
+
+    # many pieces to a row, so that the map is handed to few rows
+    rows = pieces.groupBy((F.pmod(F.xxhash64("piece"), F.lit(max(1, DICTIONARY // FOLDED)))).alias("k")).agg(F.collect_list("piece").alias("p"))
+    with_map = rows.repartition(spark.sparkContext.defaultParallelism).withColumn("pairs", rank_map(spark, path).select(F.struct("e", "s")).scalar())
+    done = F.transform("p", lambda x: F.struct(x.alias("piece"), ids_of(x, F.col("pairs")).alias("ids")))
+    # outer, as a filter on an inner one would fold everything again
+    return with_map.select(F.inline_outer(done))
+
+
+def dictionary(docs: DataFrame, path: str, pattern: str, text: str = "text", size: int = DICTIONARY) -> DataFrame:
+    """(piece, ids) of the commonest pieces of all texts, a written table."""
+    pieces = counted_pieces(docs, pattern, text)
+    done = written(folded(commonest(pieces, size), path), "dictionary")
+    forget(pieces)
+    return done
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int], shortcut: bool = True) -> list[int]:
@@ -184,36 +210,40 @@ def encoded(
 ) -> DataFrame:
     """``keep`` with the ids of each text and the bytes that they decode to."""
     spark = docs.sparkSession
-    arrow_batches(spark, 200)
     path = path or public_tokenizers.path(RANKS)
+    pieces = dictionary(docs, path, pattern, text)
     # DICTIONARY rows at most; Arrow holds them without an object for each number
-    rows = dictionary(docs, path, pattern, text).toArrow()
+    rows = pieces.toArrow().combine_chunks()
+    forget(pieces)
     known = {}
     for batch in rows.to_batches():
-        ids, ends = batch.column("ids"), batch.column("ids").offsets.to_numpy()
-        flat = ids.values.to_numpy().astype("<u4")
+        ids = batch.column("ids")
+        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
         for k, piece in enumerate(batch.column("piece").to_pylist()):
             known[piece] = flat[ends[k] : ends[k + 1]].tobytes()
     del rows
     shared = spark.sparkContext.broadcast((known, read_ranks(path)))
     del known
+    names = list(keep)
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = shared.value
         pieces = _Pieces(known, ranks)
         split = regex.compile(pattern).findall
         token = [b""] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             token[r] = b
-        for frame in frames:
-            ids = [b"".join(map(pieces.__getitem__, split(t))) for t in frame.pop("__text")]
-            frame["ids"] = ids
-            frame["decoded"] = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield frame
+        for block in blocks_of_texts(batches, "__text"):
+            texts = block.column("__text").to_pylist()
+            ids = [b"".join(map(pieces.__getitem__, split(t))) for t in texts]
+            decoded = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*[block.column(c) for c in names], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*names, "ids", "decoded"]
+            )
 
     inner = docs.select(*keep, text_or_empty(text).alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return inner.mapInPandas(encode, schema)
+    return inner.mapInArrow(encode, schema)
 
 
 def digests(done: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:

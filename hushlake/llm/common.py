@@ -7,9 +7,14 @@ an empty one.  Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,13 @@ from hushlake.functions.arrays import let, regex_spans, running, running_sums  #
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Spark's switch for deleting the shuffles of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of text that a Python worker takes at once.
+TEXT_BYTES = 4 << 20
+#: Most keys that joined_to_unique() treats as hot.
+HOT_KEYS = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test or production table; the path may be in any store Spark reads."""
@@ -24,10 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is named."""
+    """The folder all executors share.  Only a session whose executors are
+    threads of this process may go without one; it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("hushlake.shared.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="hushlake-")
@@ -39,17 +54,52 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again.
 
     The files survive lost executors, so nothing before this point is ever
-    computed twice.
+    computed twice, and the shuffles that led here go as soon as they are written.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hold Arrow batches small, as a single text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._hushlake_path = path
+    return again
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`written` that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._hushlake_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_to_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``left``, a written table, to ``right``, whose ``key`` is
+    unique.  A key with more than one in HOT_KEYS of the rows of a large ``left``
+    is hot; there are fewer than HOT_KEYS of them, so their rows of ``right`` are
+    broadcast and no task gets all rows of one."""
+    n = left.count()
+    if n < HOT_KEYS * 16:
+        return left.join(right, key)
+    hot = written(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > n // HOT_KEYS).select(key), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key)
+    of_hot = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    rest = left.join(F.broadcast(hot), key, "left_anti")
+    return left.join(of_hot, key).unionByName(rest.join(right, key))
+
+
+def blocks_of_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in blocks of TEXT_BYTES, or one longer text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.cumsum(sizes) // TEXT_BYTES
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(int(at), int(end - at))
 
 
 def text_or_empty(col: Column | str) -> Column:

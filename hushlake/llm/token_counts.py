@@ -10,7 +10,8 @@ Special strings inside a text count one token each, as the tokenizer's
 default has it; the text between them is counted by itself.
 
 Defined results for odd input: a null or empty text has no tokens; repeated
-rows have equal counts; texts of any length are counted whole; an empty table
+rows have equal counts; columns beside the text are handed through as they are,
+nulls included; texts of any length are counted whole; an empty table
 gives an empty result.
 """
 
@@ -19,15 +20,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import merge_bytes
-from .common import arrow_batches, table, text_or_empty
+from .common import blocks_of_texts, table, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -92,11 +93,12 @@ class _Counts(dict):
 def counted(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
     """``keep`` with n_bytes, n_tokens and over_limit."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     ranks, special = read_tokenizer(path or public_tokenizers.path(TOKENIZER))
     shared = spark.sparkContext.broadcast((proved_whole(ranks), ranks))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*keep, "n_bytes"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, ranks = shared.value
         counts = _Counts(whole, ranks)
         pieces = regex.compile(public_tokenizers.PATTERN).findall
@@ -108,13 +110,13 @@ def counted(docs: DataFrame, path: str | None = None, text: str = "text", keep:
             parts = cut.split(text)
             return len(parts) - 1 + sum(sum(map(counts.__getitem__, pieces(p))) for p in parts)
 
-        for frame in frames:
-            frame["n_tokens"] = [tokens(t) for t in frame.pop("__text")]
-            yield frame
+        for block in blocks_of_texts(batches, "__text"):
+            n = pa.array([tokens(t) for t in block.column("__text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in names], n], [*names, "n_tokens"])
 
     inner = docs.select(*keep, F.octet_length(text_or_empty(text)).cast("bigint").alias("n_bytes"), text_or_empty(text).alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return inner.mapInPandas(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return inner.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
