@@ -13,7 +13,7 @@ fingerprints are one entry with a count, whatever their number.
 The next document in falling order of id is found without a global sort:
 documents fall into blocks by bounds of their ids, each block also receives
 the first document of the block below, and a window within blocks does the
-rest.  Whole texts are shuffled once.
+rest.  Whole texts are shuffled once; the number of blocks has a bound.
 
 Defined results for odd input: a null or empty text has fingerprint zero; rows
 of equal id follow each other by text, a null id comes last; a single document
@@ -37,9 +37,12 @@ BLOCK = (1 << 15) // MAX_WEIGHT - 1
 RADIUS = 3
 CUTS = (0, 11, 22, 33, 44, 54, 64)
 AGREE = 3
-#: Documents of a block of neighbours, and bounds that a plan may hold.
+#: Documents of a block of neighbours, bounds that a plan may hold, and blocks.
+#: Whatever the input, no more than MAX_BLOCKS rows of 24 bytes tell which block
+#: follows which (2 MB): they are sorted by one task and broadcast.
 ROWS_PER_BLOCK = 2000
 MAX_BOUNDS = 1024
+MAX_BLOCKS = 1 << 16
 
 
 def _lanes(words: Column) -> Column:
@@ -123,7 +126,7 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataF
     asked = queries.select("fp").distinct()
     pairs = (
         keyed(asked, {"fp": "fp"})
-        .join(keyed(counts, {"fp": "other", "n": "n"}), ["t", "key"])
+        .join(keyed(counts, {"fp": "other", "n": "n"}).hint("shuffle_merge"), ["t", "key"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
         .groupBy("fp", "other")
         .agg(F.first("n").alias("n"))
@@ -135,7 +138,7 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text:
     """``docs`` and, as next_<column>, columns of the next document in falling
     order of id; the first follows the last."""
     n, low, high = docs.agg(F.count("*"), F.min(doc_id), F.max(doc_id)).first()
-    blocks = max(1, -(-n // ROWS_PER_BLOCK))
+    blocks = min(MAX_BLOCKS, max(1, -(-n // ROWS_PER_BLOCK)))
     bounds = min(MAX_BOUNDS, blocks)
     cuts = docs.select(F.percentile_approx(doc_id, [k / bounds for k in range(1, bounds)] or [0.5], 10000)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -158,12 +161,12 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text:
         F.col("__x_top"),
         F.coalesce(F.lag("__x_block").over(order), F.last("__x_block").over(everything)).alias("__x_to"),
     )
-    # blocks hold about ROWS_PER_BLOCK rows each, so this is a small share of the input
+    # the first of a block is also a guest of the block before it
     hosts = F.array(
         F.struct(F.col("__x_block").alias("block"), F.lit(0).alias("guest")),
     )
     tops = written(tops, "block-tops")
-    joined = placed.join(tops, (F.col("__x_block") == F.col("__x_of")) & F.col(doc_id).eqNullSafe(F.col("__x_top")), "left")
+    joined = placed.join(F.broadcast(tops), (F.col("__x_block") == F.col("__x_of")) & F.col(doc_id).eqNullSafe(F.col("__x_top")), "left")
     hosts = F.when(
         F.col("__x_of").isNotNull(), F.concat(hosts, F.array(F.struct(F.col("__x_to").alias("block"), F.lit(1).alias("guest"))))
     ).otherwise(hosts)
@@ -199,7 +202,8 @@ def op8_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited-fingerprints",
     )
     near = within(rows.select("fp"), rows.where("doc_id % 20 = 0").select("fp"))
-    found = rows.join(near, "fp", "left")
+    # what is within the radius grows with the input, so it is not broadcast
+    found = rows.join(near.hint("shuffle_merge"), "fp", "left")
     return found.select(
         "doc_id",
         "n_chars",
