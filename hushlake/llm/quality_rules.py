@@ -30,6 +30,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Words in a language's reference.
 TOP_WORDS = 32
+#: Parts of a vocabulary that are ranked by themselves first.
+SHARDS = 16
 #: Places that say whether a word can be one of these.
 BINS = 1024
 #: Repeated hashes up to which a text's windows are looked up one by one.
@@ -205,11 +207,16 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     totals = totals.where("lang is not null").unionByName(
         totals.agg(F.sum("total").alias("total")).select(F.lit(None).cast("string").alias("lang"), "total")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    # in two rounds: the last task of a language gets SHARDS * TOP_WORDS words of
+    # it, whatever the number of tasks before
+    by_count = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
     top = (
         counts.where("lang is not null")
         .unionByName(everywhere)
-        .withColumn("rank", rank)
+        .withColumn("shard", F.pmod(F.col("word"), F.lit(SHARDS)))
+        .withColumn("rank", by_count("lang", "shard"))
+        .where(F.col("rank") <= TOP_WORDS)
+        .withColumn("rank", by_count("lang"))
         .where(F.col("rank") <= TOP_WORDS)
         .groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
@@ -339,7 +346,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     # a filter would be pushed below the projections, and every expression of the
     # verdict would be put into it and evaluated over and over; a generator stays
     once = F.explode(F.when(F.col("__quality.kept"), F.array(F.lit(True))))
-    return judged.withColumn("__keep", once).select(*docs.columns)
+    return judged.select(*docs.columns, once.alias("__kept")).select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
