@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import counted_kind, joined_spans, ranked, regex_spans, running, table, text_or_empty
+from .common import counted_kind, joined_spans, let, ranked, regex_spans, running, table, text_or_empty
 
 ASSIGN = (
     "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -64,36 +64,57 @@ def _c_log_c(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
+#: Characters of tokens.  Their counts in a window are below 32, so that twelve
+#: of them fit a number.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+BITS, LANES = 5, 12
+WORDS = -(-len(SYMBOLS) // LANES)
+
+
 def window_entropy(token: Column, width: int = WINDOW) -> Column:
     """Greatest Shannon entropy (bits) of ``width`` neighbouring characters.
 
-    The state of the sweep is the window, the sum of c*log2(c) over it, and the
-    least such sum so far.  Less sum is more entropy.  The token is cut into
-    characters once.
+    The state of the sweep is the count of every character in the window, packed
+    into a few numbers, the sum of c*log2(c) over them, and the least such sum so
+    far.  A character that enters or leaves changes one count.  Less sum is more
+    entropy.  ``width`` is below 32.
     """
-    chars = F.filter(F.split(token, ""), lambda c: c != "")
-
-    def enter(window: Column, total: Column, c: Column) -> Column:
-        n = F.length(window) - F.length(F.replace(window, c, F.lit("")))
-        return total + _c_log_c(n + 1) - _c_log_c(n)
-
-    def leave(window: Column, total: Column) -> Column:
-        first = F.substring(window, 1, 1)
-        n = F.length(window) - F.length(F.replace(window, first, F.lit("")))
-        return total + _c_log_c(n - 1) - _c_log_c(n)
-
-    def step(acc: Column, c: Column) -> Column:
-        full = F.length(acc.window) == width
-        rest = F.when(full, F.substring(acc.window, 2, width)).otherwise(acc.window)
-        kept = F.when(full, leave(acc.window, acc.total)).otherwise(acc.total)
-        grown = enter(rest, kept, c)
-        window = F.concat(rest, c)
-        least = F.when(F.length(window) == width, F.least(acc.least, grown)).otherwise(acc.least)
-        return F.struct(window.alias("window"), grown.alias("total"), least.alias("least"))
+    places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+
+    def shifted(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % LANES) * BITS)
+
+    def count(acc: Column, place: Column) -> Column:
+        word = F.lit(0).cast("bigint")
+        for k in range(WORDS):
+            word = F.when((place / LANES).cast("int") == k, acc[f"w{k}"]).otherwise(word)
+        return F.call_function("shiftright", word, (place % LANES) * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+
+    def changed(acc: Column, place: Column, by: int) -> Column:
+        n = count(acc, place)
+        there = lambda k: (place / LANES).cast("int") == k
+        words = [F.when(there(k), acc[f"w{k}"] + by * shifted(place)).otherwise(acc[f"w{k}"]).alias(f"w{k}") for k in range(WORDS)]
+        total = (acc.total - _c_log_c(n) + _c_log_c(n + by)).alias("total")
+        return F.struct(*words, total, acc.least.alias("least"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = let(acc, lambda a: F.when(x.out >= 0, changed(a, x.out, -1)).otherwise(a))
+        grown = let(left, lambda a: changed(a, x["in"], 1))
+        least = lambda a: F.when(x.full, F.least(a.least, a.total)).otherwise(a.least)
+        return let(grown, lambda a: F.struct(*[a[f"w{k}"].alias(f"w{k}") for k in range(WORDS)], a.total.alias("total"), least(a).alias("least")))
 
     none = float(1 << 20)
-    start = F.struct(F.lit("").alias("window"), F.lit(0.0).alias("total"), F.lit(none).alias("least"))
-    swept = F.aggregate(chars, start, step, lambda acc: acc.least)
+    start = F.struct(*[F.lit(0).cast("bigint").alias(f"w{k}") for k in range(WORDS)], F.lit(0.0).alias("total"), F.lit(none).alias("least"))
+    moves = let(
+        places,
+        lambda p: F.transform(
+            p,
+            lambda c, i: F.struct(
+                c.alias("in"), F.when(i >= width, F.get(p, i - width)).otherwise(F.lit(-1)).alias("out"), (i >= width - 1).alias("full")
+            ),
+        ),
+    )
+    swept = F.aggregate(moves, start, step, lambda acc: acc.least)
     return F.when(F.length(token) >= width, F.log2(F.lit(float(width))) - swept / width).otherwise(F.lit(0.0))
 
 
