@@ -12,7 +12,7 @@ sources over all output files.
 Defined results for odd input: a null source is a source of its own; a null id
 is hashed as the word "null"; repeated rows have the same count; texts are not
 looked at; an empty table gives an empty result.  A column of the input named
-``copy`` is replaced.
+like ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -87,16 +87,17 @@ def mix(
     shares: dict | None = None,
     total: float = 1.0,
     seed: int = SEED,
+    out: str = "copy",
 ) -> DataFrame:
-    """``docs`` repeated and shuffled, with the number of the copy in ``copy``."""
+    """``docs`` repeated and shuffled, with the number of the copy in ``out``."""
     by_source = written(rates(docs, source, shares, total), "rates").select(F.col("source").alias("__m_source"), F.col("rate").alias("__m_rate"))
     if by_source.count() <= MAX_BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    drawn = docs.drop("copy").join(by_source, F.col(source).eqNullSafe(F.col("__m_source")))
+    drawn = docs.drop(out).join(by_source, F.col(source).eqNullSafe(F.col("__m_source")))
     drawn = drawn.withColumn("__m_n", copies(seed, F.col(doc_id), F.col("__m_rate")))
     # no filter on the count: it would be pushed down and drawn twice
-    each = drawn.withColumn("copy", F.explode(F.when(F.col("__m_n") > 0, F.sequence(F.lit(1), F.col("__m_n")))))
-    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string")))
+    each = drawn.withColumn(out, F.explode(F.when(F.col("__m_n") > 0, F.sequence(F.lit(1), F.col("__m_n")))))
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(out).cast("string")))
     return (
         each.withColumn("__m_order", order)
         .repartition(F.col("__m_order"))
