@@ -70,10 +70,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete the files of tables from :func:`written` that no later plan reads."""
+    """Delete the files of tables from :func:`written` that no later plan reads, and
+    have the driver let go of the plans and broadcasts that led to them."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._hushlake_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def joined_to_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

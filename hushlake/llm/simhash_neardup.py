@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, table, text_or_empty, written
+from .common import forget, joined_to_unique, table, text_or_empty, written
 from .similar_texts import similar_links
 
 SHINGLE = 3
@@ -41,6 +41,8 @@ RADIUS = 2
 #: Children of a node, and codes that a partition is meant to hold.
 FANOUT = 16
 CODES_PER_PARTITION = 1 << 17
+#: Codes that a partition holds at least where cores would be idle otherwise.
+LEAST_CODES = 1 << 13
 MAX_PARTITIONS = 4096
 #: Runs of each partition in the broadcast top of the tree: at most
 #: MAX_PARTITIONS * TOP_RUNS nodes of 24 bytes, 6 MB.
@@ -180,10 +182,12 @@ def _top_nodes(frame: pd.DataFrame) -> pd.DataFrame:
 
 def links(codes: DataFrame, radius: int = RADIUS, n_codes: int | None = None) -> DataFrame:
     """(a, b): links that join all of ``codes`` (column code, distinct) whose
-    distance is at most ``radius`` into the same components."""
+    distance is at most ``radius`` into the same components; a written table."""
     spark = codes.sparkSession
     n = codes.count() if n_codes is None else n_codes
-    parts = int(min(MAX_PARTITIONS, max(1, -(-n // CODES_PER_PARTITION))))
+    # enough for all cores, unless that makes them so small that codes meet elsewhere
+    parts = max(-(-n // CODES_PER_PARTITION), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_CODES)))
+    parts = int(min(MAX_PARTITIONS, max(1, parts)))
     placed = written(
         codes.repartitionByRange(parts, gray_rank(F.col("code"))).select(
             "code", F.spark_partition_id().alias("pid")
@@ -264,8 +268,10 @@ def links(codes: DataFrame, radius: int = RADIUS, n_codes: int | None = None) ->
             yield frame_of(build())
 
     routed = placed.mapInPandas(route, "pid int, guest int, code long")
-    dealt = routed.repartition(parts, "pid").sortWithinPartitions("pid", "guest")
-    return dealt.mapInPandas(meet, "a long, b long").where("a <> b").distinct()
+    dealt = routed.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "guest")
+    found = written(dealt.mapInPandas(meet, "a long, b long").where("a <> b").distinct(), "fingerprint-links")
+    forget(placed)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,6 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
+        last = now
         large = star(both(now), lambda j: j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = star(
@@ -291,6 +298,7 @@ def components(edges: DataFrame) -> DataFrame:
             ),
         )
         now = written(small, "stars")
+        forget(last)
         sign = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(pmod(xxhash64(b, a), 1000000007))")).first()
         if sign == seen:
             break
@@ -309,11 +317,10 @@ def with_similar(docs: DataFrame, t: Column, printed: DataFrame, edges: DataFram
         named = pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
         return edges.unionByName(named.where("a <> b")).distinct()
 
-    def groups(pairs: DataFrame) -> DataFrame:
-        comp = components(added(pairs))
-        return prints.join(comp, F.col("fp") == F.col("node"), "left").select("row_hash", F.coalesce("root", "fp").alias("root"))
-
-    return written(added(similar_links(docs, t, groups)), "all-links")
+    similar = similar_links(docs, t)
+    every = written(added(similar), "all-links")
+    forget(similar, prints, edges)
+    return every
 
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: bool = False) -> DataFrame:
@@ -321,7 +328,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     the least (id is null, id, row hash) of its component.  ``similar`` links
     similar texts too, however far apart their fingerprints are."""
     spark = docs.sparkSession
-    arrow_batches(spark)
+
     t = text_or_empty(text)
     printed = written(
         docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(t).alias("row_hash"), fingerprint_udf(t).alias("fp")),
@@ -329,7 +336,7 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     )
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_hash").alias("h"))
     distinct = written(printed.groupBy("fp").agg(F.min(me).alias("first")), "distinct-fingerprints")
-    edges = written(links(distinct.select(F.col("fp").alias("code"))), "fingerprint-links")
+    edges = links(distinct.select(F.col("fp").alias("code")))
     if similar:
         edges = with_similar(docs, t, printed, edges)
     if edges.isEmpty():
@@ -339,23 +346,23 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
         linked = distinct.join(comp, distinct.fp == comp.node)
         least = linked.groupBy("root").agg(F.min("first").alias("least"))
         moved = linked.join(least, "root").select("fp", "least")
-        firsts = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
-    return printed.join(firsts, "fp").select("doc_id", "row_hash", "fp", "first")
+        firsts = written(distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "firsts")
+        forget(edges)
+    return joined_to_unique(printed, firsts, "fp").select("doc_id", "row_hash", "fp", "first")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: bool = False) -> DataFrame:
-    """The first document of each group, with the columns it came with."""
-    none = F.lit(-(1 << 63)).cast("bigint")
+    """The first document of each group, with the columns it came with.  Of rows
+    with equal id and text, any one stays."""
+    key = lambda no_id, i, h: F.struct(no_id.alias("no_id"), F.coalesce(i, F.lit(0)).cast("bigint").alias("id"), h.alias("h"))
     chosen = (
         grouped(docs, text, doc_id, similar)
-        .select(F.coalesce(F.col("first.id"), none).alias("__n_id"), F.col("first.h").alias("__n_hash"))
+        .select(key(F.col("first.no_id"), F.col("first.id"), F.col("first.h")).alias("__n_key"))
         .distinct()
     )
-    keyed = docs.withColumn("__n_id", F.coalesce(F.col(doc_id).cast("bigint"), none)).withColumn(
-        "__n_hash", F.xxhash64(text_or_empty(text))
-    )
-    keys = ["__n_id", "__n_hash"]
-    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    own = key(F.col(doc_id).isNull(), F.col(doc_id).cast("bigint"), F.xxhash64(text_or_empty(text)))
+    kept = docs.withColumn("__n_key", own).join(chosen, "__n_key", "left_semi")
+    return kept.dropDuplicates(["__n_key"]).select(*docs.columns)
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 The search is exact.  Shingles have one order over all texts, the rarer first.
 Two sets with a Jaccard similarity of 0.8 share a shingle among the first
-n - ceil(0.8 n) + 1 of each, so only those are exchanged, and every pair that
-meets is held against its whole sets.  In each meeting the first text is
-compared with all others; two others are compared only where that left them in
-different groups, so a large group of near copies costs one comparison each.
+n - ceil(0.8 n) + 1 of each, so only those are exchanged, with their places:
+the first shingle that two such sets share leaves enough after it in both.  A
+pair that meets is held against its sizes and its histograms of hashes first,
+which bound what it can share from above, and what these leave against its
+whole sets.
+
+A meeting's head is its least text.  Every text is compared with the least of
+its heads first, which links nearly all of a large group of near copies; with
+its other heads, and with other texts that it meets, only where it is not
+linked to the same text already.
 """
 
 from __future__ import annotations
@@ -19,14 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import forget, written
 
 SHINGLE = 5
 #: The least similarity is SHARED / OF.
 SHARED, OF = 4, 5
-#: Counters of how common shingles are.  They set the order alone, so sharing
-#: one costs time and loses nothing.
-COUNTER_BITS = 15
+#: Counters of how common shingles are: one for about so many bytes of text, and
+#: no more than 2^COUNTER_BITS[1], 8 MB.  They set the order alone, so sharing one
+#: costs time and loses nothing.
+BYTES_PER_COUNTER = 384
+COUNTER_BITS = (15, 20)
+#: Texts that are counted at once.
+COUNTED = 256
+#: Bins of a set's histogram, a byte each; a full one says nothing.
+BINS = 512
+FULL = 255
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -39,16 +52,16 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=n))
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def first_shingles(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Those of which two similar sets share one."""
+    """Those of which two similar sets share one, in order."""
     n = len(hashes)
     if not n:
         return hashes
-    order = np.lexsort((hashes, common[_counter(hashes)]))
+    order = np.lexsort((hashes, common[_counter(hashes, len(common).bit_length() - 1)]))
     return hashes[order[: n + (-SHARED * n // OF) + 1]]
 
 
@@ -57,55 +70,118 @@ def shingle_set_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    for frame in frames:
-        for text in frame["text"]:
-            counts += np.bincount(_counter(shingle_set(text)), minlength=1 << COUNTER_BITS)
-    there = np.flatnonzero(counts)
-    yield pd.DataFrame({"counter": there, "n": counts[there]})
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """How many texts' shingles fall to each counter."""
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(int(size // BYTES_PER_COUNTER).bit_length(), COUNTER_BITS[0]), COUNTER_BITS[1])
 
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << bits, np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), COUNTED):
+                some = np.concatenate([shingle_set(t) for t in frame["text"].iloc[at : at + COUNTED]])
+                counts += np.bincount(_counter(some, bits), minlength=1 << bits)
+        there = np.flatnonzero(counts)
+        yield pd.DataFrame({"counter": there, "n": counts[there]})
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    # a task hands out a row for each counter, so there are few tasks
+    few = texts.select("text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    found = few.mapInPandas(counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << bits, np.int64)
+    common[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return common
+
+
+def histogram(hashes: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
+@F.pandas_udf(T.BooleanType())
+def can_be_alike(na: pd.Series, ha: pd.Series, nb: pd.Series, hb: pd.Series) -> pd.Series:
+    """Whether sets of these sizes and histograms can share enough."""
+    a, b = (np.frombuffer(b"".join(h), np.uint8).reshape(-1, BINS) for h in (ha, hb))
+    shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    enough = (OF + SHARED) * shared >= SHARED * (na.to_numpy(np.int64) + nb.to_numpy(np.int64))
+    return pd.Series(enough | (a == FULL).any(axis=1) | (b == FULL).any(axis=1))
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of row hashes that are similar."""
+    own = written(
+        prefixes.select("row_hash", "n", "bins").join(pairs.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "row_hash", "left_semi").dropDuplicates(["row_hash"]),
+        "histograms",
+    )
+    one = lambda x: own.select(F.col("row_hash").alias(x), F.col("n").alias("n" + x), F.col("bins").alias("h" + x))
+    close = pairs.join(one("a"), "a").join(one("b"), "b").where(can_be_alike("na", "ha", "nb", "hb")).select("a", "b")
+    close = written(close, "close")
     # written, so that its size is known and a small one spares the texts a shuffle
-    wanted = written(pairs.select(F.col("a").alias("row_hash")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = written(close.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "wanted")
+    forget(own)
     kept = texts.join(wanted, "row_hash", "left_semi").dropDuplicates(["row_hash"])
     sets = written(kept.select("row_hash", shingle_set_udf("text").alias("set")), "shingle-sets")
     one = lambda x: sets.select(F.col("row_hash").alias(x), F.col("set").alias("s" + x))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = OF * both >= SHARED * (F.size("sa") + F.size("sb") - both)
-    return written(pairs.join(one("a"), "a").join(one("b"), "b").where(alike).select("a", "b"), "similar")
+    done = written(close.join(one("a"), "a").join(one("b"), "b").where(alike).select("a", "b"), "similar")
+    forget(close, wanted, sets)
+    return done
+
+
+def enough_left(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
+    """Whether sets of these sizes whose first common shingle has these places (from
+    0) can share enough."""
+    return (OF + SHARED) * F.least(na - ia, nb - ib) >= SHARED * (na + nb)
 
 
-def similar_links(docs: DataFrame, text: Column, groups) -> DataFrame:
+def similar_links(docs: DataFrame, text: Column) -> DataFrame:
     """(a, b): row hashes of similar texts that join all such into the same
-    components.  ``groups`` gives (row_hash, root) of what the links it is given
-    and its own join."""
+    components; a written table."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(text).alias("row_hash"), text.alias("text"))
-    # as many rows as there are counters
-    counted = texts.select("text").mapInPandas(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    common = np.zeros(1 << COUNTER_BITS, np.int64)
-    common[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(common)
+    shared = spark.sparkContext.broadcast(common_shingles(texts))
 
-    @F.pandas_udf("struct<n:int,first:array<long>>")
+    @F.pandas_udf("struct<n:int,first:array<long>,bins:binary>")
     def firsts(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "first": [first_shingles(s, shared.value).view(np.int64) for s in sets]})
-
-    rows = texts.withColumn("f", firsts("text")).select("row_hash", "f.n", F.explode("f.first").alias("s"))
-    rows = written(rows, "first-shingles")
+        n, first, bins = np.zeros(len(texts), np.int32), [], []
+        for k, t in enumerate(texts):
+            s = shingle_set(t)
+            n[k] = len(s)
+            first.append(first_shingles(s, shared.value).view(np.int64))
+            bins.append(histogram(s))
+        return pd.DataFrame({"n": n, "first": first, "bins": bins})
+
+    prefixes = written(texts.withColumn("f", firsts("text")).select("row_hash", "f.n", "f.first", "f.bins"), "first-shingles")
+    rows = prefixes.select("row_hash", "n", F.posexplode("first").alias("place", "s"))
     met = rows.groupBy("s").agg(F.min("row_hash").alias("head"), F.max("row_hash").alias("last")).where("head <> last")
     met = written(met.select("s", "head"), "met")
     members = written(rows.join(met, "s").distinct(), "meetings")
-    heads = written(members.where("row_hash <> head").select(F.col("head").alias("a"), F.col("row_hash").alias("b")).distinct(), "heads")
-    first = _verified(heads, texts)
-    placed = written(members.join(groups(first), "row_hash").select("s", "row_hash", "n", "root"), "apart")
-    one = lambda x: placed.select("s", F.col("row_hash").alias(x), F.col("n").alias("n" + x), F.col("root").alias("r" + x))
+    of_head = members.where("row_hash = head").select("s", F.col("n").alias("nh"), F.col("place").alias("ph"))
+    heads = members.where("row_hash <> head").join(of_head, "s").where(enough_left(F.col("n"), F.col("place"), F.col("nh"), F.col("ph")))
+    heads = written(heads.select(F.col("head").alias("a"), F.col("row_hash").alias("b")).distinct(), "heads")
+    forget(met)
+    least = written(heads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least-heads")
+    first = _verified(least, prefixes, texts)
+    # a text and the head it is similar to have one label
+    label = written(first.groupBy("b").agg(F.min("a").alias("label")), "labels")
+    of = lambda x: label.select(F.col("b").alias(x), F.col("label").alias("l" + x))
+    named = lambda x: F.coalesce("l" + x, x)
+    apart = heads.join(least, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(named("a") != named("b"))
+    apart = written(apart.select("a", "b"), "other-heads")
+    second = _verified(apart, prefixes, texts)
+    forget(least, apart)
+    placed = written(
+        members.select("s", "row_hash", "n", "place").join(of("row_hash"), "row_hash", "left").select("s", "row_hash", "n", "place", named("row_hash").alias("l")),
+        "places",
+    )
+    forget(members)
+    one = lambda x: placed.select("s", *[F.col(c).alias(k + x) for c, k in (("row_hash", ""), ("n", "n"), ("place", "p"), ("l", "l"))])
     rest = one("a").join(one("b"), "s").where(
-        (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (OF * F.least("na", "nb") >= SHARED * F.greatest("na", "nb"))
+        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & enough_left(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
     )
     pairs = written(rest.select("a", "b").distinct().join(heads, ["a", "b"], "left_anti"), "others")
-    return first.unionByName(_verified(pairs, texts))
+    forget(placed, heads, label)
+    more = _verified(pairs, prefixes, texts)
+    both = written(first.unionByName(second).unionByName(more), "similar-links")
+    forget(pairs, first, second, more, prefixes)
+    return both
