@@ -45,7 +45,8 @@ class Rule:
 
 #: Patterns, confidences and context words.
 RULES = (
-    Rule("EMAIL", "email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", 0.97, needs="@"),
+    # a match starts where a run starts or the match before it ended: linear in the text
+    Rule("EMAIL", "email", "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", 0.97, needs="@"),
     Rule("AADHAAR", "aadhaar-verhoeff", "(?<![0-9])[2-9][0-9]{3}[\\s-]?[0-9]{4}[\\s-]?[0-9]{4}(?![0-9])", 0.99, "verhoeff"),
     Rule("CARD", "card-luhn", "(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 0.98, "luhn"),
     Rule("PAN", "pan-structure", f"{EDGE}[A-Z]{{5}}[0-9]{{4}}[A-Z]{EDGE}", 0.98, "pan"),

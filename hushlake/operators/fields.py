@@ -152,3 +152,17 @@ def profile_key(kind: Column, label: Column) -> Column:
         .when(kind == "ADDRESS", F.when(text.rlike("address|पता"), F.lit("ADDRESS")))
         .otherwise(F.try_element_at(direct, kind))
     )
+
+
+def role_of(tag: Column, kind: Column, role: Column, editable: Column) -> Column:
+    """What a control is: the role it names itself, else that of its tag and type."""
+    t, k = F.lower(tag), F.lower(F.coalesce(kind, F.lit("text")))
+    of_input = (
+        F.when(k.isin("checkbox", "radio", "file"), k).when(k.isin("submit", "button", "reset", "image"), "button")
+        .when(k == "range", "slider").when(k == "search", "searchbox").otherwise("textbox")
+    )
+    of_tag = (
+        F.when(t == "a", "link").when(t.isin("button", "summary"), "button").when(t == "select", "combobox").when(t == "textarea", "textbox")
+        .when(F.coalesce(editable, F.lit(False)), "textbox").when(t == "input", of_input).otherwise(t)
+    )
+    return F.coalesce(F.lower(F.nullif(role, F.lit(""))), of_tag)

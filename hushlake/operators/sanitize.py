@@ -11,9 +11,6 @@ from hushlake.functions.text import compared
 
 from .entities import entities
 
-MAX_AUDITED = 20_000
-
-
 def spliced(text: Column, spans: Column) -> Column:
     """``text`` with each span (start, end, token; by start, disjoint) replaced."""
     ends = lambda s: F.concat(F.array(F.lit(0)), F.transform(s, lambda x: x.end))
@@ -58,12 +55,13 @@ def sanitize(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return staged.select(*keep, clean.alias("clean"), F.transform("__m", lambda m: m.type).alias("types"))
 
 
-def audit(payload: DataFrame, strings: str = "strings", keep: str = "payload_id", secrets: DataFrame | None = None) -> DataFrame:
+def audit(payload: DataFrame, strings: str = "strings", keep: str = "payload_id", secrets: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Incidents (kind, type, path, rule) of an array of (path, value).  Bare
-    tokens and the image path are skipped; no incident carries a value."""
+    tokens and the image path are skipped; no incident carries a value.  Strings
+    are read whole, or their first ``most`` characters."""
     each = payload.select(keep, F.explode(strings).alias("s")).select(keep, "s.path", F.col("s.value").alias("value"))
     kept = each.where((F.col("path") != "screen.image_jpeg_b64") & ~is_token(F.col("value")))
-    cut = kept.withColumn("value", F.left("value", F.lit(MAX_AUDITED)))
+    cut = kept if most is None else kept.withColumn("value", F.left("value", F.lit(most)))
     plain = cut.select(keep, "path", blanked(F.col("value")).alias("b"))
     hits = plain.select(keep, "path", F.explode(entities(F.col("b"))).alias("m"))
     found = hits.select(keep, F.lit("pattern").alias("kind"), "m.type", "path", "m.rule")

@@ -48,3 +48,19 @@ def decoys(keys: DataFrame, key: str, tries: int = 20) -> DataFrame:
     k = F.col(key).cast("bigint")
     made = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: ((k * 104729 + i * 7919) % 899999999999 + 100000000000).cast("string"))
     return keys.select(key, F.get(F.filter(made, lambda v: ~checksums.verhoeff_valid(v) & ~checksums.luhn_valid(v)), 0).alias("decoy"))
+
+
+#: Class of a detector for a kind of personal data; a face has none.
+DETECTOR_CLASS = {
+    "PASSWORD": "password_field", "CARD": "payment_card", "CVV": "payment_card", "ID_DOCUMENT": "id_document",
+    "QR_CODE": "qr_code", "SIGNATURE": "signature",
+}
+TEXT_KINDS = ("AADHAAR", "PAN", "PASSPORT", "IFSC", "UPI", "ACCOUNT", "EMAIL", "PHONE", "OTP", "DOB", "PINCODE", "ADDRESS", "NAME", "GENERIC")
+CONTROL_CLASS = {"input": "text_input", "button": "button", "password": "password_field"}
+
+
+def detector_class(kind: Column, value: Column) -> Column:
+    """Class of an annotation: of its kind of data, of its control, or as it says."""
+    of = lambda pairs, x: F.try_element_at(F.create_map(*[F.lit(y) for kv in pairs.items() for y in kv]), x)
+    data = F.coalesce(of(DETECTOR_CLASS, F.upper(value)), F.when(F.upper(value).isin(*TEXT_KINDS), "pii_text"))
+    return F.when(kind == "pii", data).when(kind == "ui", of(CONTROL_CLASS, F.lower(value))).otherwise(value)

@@ -7,6 +7,11 @@ window over a type, so no task holds a whole type.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from hushlake.functions.text import compared
 
 #: Distinct values of a type that one window numbers.
 BLOCKS = 512
+#: Values that one automaton holds.
+AT_ONCE = 100_000
 
 
 def tokenize(matches: DataFrame, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
@@ -30,7 +37,7 @@ def tokenize(matches: DataFrame, order: tuple[str, ...] = ("doc_id", "start")) -
     lead = F.col(f"at.{order[0]}")
     span = firsts.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"))
     placed = firsts.join(F.broadcast(span), F.lit(True)).withColumn(
-        "block", F.floor((lead - F.col("lo")) * F.lit(BLOCKS) / (F.col("hi") - F.col("lo") + 1)).cast("int")
+        "block", F.coalesce(F.floor((lead - F.col("lo")) * F.lit(BLOCKS) / (F.col("hi") - F.col("lo") + 1)).cast("int"), F.lit(-1))
     )
     sizes = placed.groupBy("type", "block").agg(F.count("*").alias("n"))
     # at most BLOCKS rows per type
@@ -49,36 +56,54 @@ def token_keys(text: Column) -> Column:
 
 
 def resolve(df: DataFrame, text: str, vault: DataFrame, key: str) -> DataFrame:
-    """``df`` (unique ``key``) with the tokens of ``text`` replaced by their
-    values; unknown tokens stay.  Tokens are joined, texts are not shuffled by
-    more than their key."""
-    parts = df.select(
-        key,
-        F.posexplode(F.split(F.col(text), "(?=⟦[A-Z][A-Z0-9_.]*⟧)|(?<=⟧)")).alias("pos", "piece"),
-    )
-    known = vault.select(F.col("token").alias("__t"), F.col("value").alias("__v"))
-    joined = parts.join(known, parts.piece == known["__t"], "left").withColumn("out", F.coalesce("__v", "piece"))
-    whole = joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x.out), "").alias("resolved"),
+    """(key, resolved, has_unresolved): a row for each row of ``df``, the tokens of
+    ``text`` replaced by their values; unknown tokens stay, a null text stays null.
+    Of a token that the vault has twice the least value counts."""
+    each = df.select(F.struct(F.col(key).alias("key"), F.col(text).alias("text")).alias("__row"))
+    with_token = F.contains(F.col("__row.text"), F.lit("⟦"))
+    pieces = F.split(F.col("__row.text"), "(?=⟦[A-Z][A-Z0-9_.]*⟧)|(?<=⟧)")
+    parts = each.where(with_token).distinct().select("__row", F.posexplode(pieces).alias("pos", "piece"))
+    known = vault.groupBy(F.col("token").alias("piece")).agg(F.min("value").alias("__v"))
+    joined = parts.join(known, "piece", "left").withColumn("out", F.coalesce("__v", "piece"))
+    whole = joined.groupBy(F.col("__row").alias("__of")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x.out), "").alias("__whole"),
         F.max((F.col("piece").rlike("^⟦[A-Z][A-Z0-9_.]*⟧$") & F.col("__v").isNull()).cast("int")).alias("__u"),
     )
-    return whole.select(key, "resolved", (F.col("__u") == 1).alias("has_unresolved"))
+    return each.join(whole, F.col("__row").eqNullSafe(F.col("__of")), "left").select(
+        F.col("__row.key").alias(key),
+        F.coalesce("__whole", F.col("__row.text")).alias("resolved"),
+        F.coalesce(F.col("__u") == 1, F.lit(False)).alias("has_unresolved"),
+    )
 
 
-def known_values(texts: DataFrame, values: DataFrame, text: str = "text", keep: str = "doc_id", least: int = 4) -> DataFrame:
-    """(keep, value): literal case-insensitive containment of a small dictionary.
+def known_values(texts: DataFrame, values: DataFrame, text: str = "text", keep: str = "doc_id", least: int = 4, at_once: int = AT_ONCE) -> DataFrame:
+    """(keep, value): literal case-insensitive containment of a dictionary.
 
-    The dictionary is collected up to 10,000 values and searched per text by
-    one expression per value; larger ones need an automaton."""
-    rows = values.where(F.length("value") >= least).select("value").distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 known values")
-    listed = F.array(*[F.lit(r.value) for r in sorted(rows)]) if rows else F.array().cast("array<string>")
-    low = F.lower(F.col(text))
-    hits = texts.select(keep, low.alias("__low")).select(
-        keep, F.explode(F.filter(listed, lambda v: F.contains(F.col("__low"), F.lower(v)))).alias("value")
-    )
-    return hits
+    A dictionary of any size is searched in as many passes as it has parts of about
+    ``at_once`` values, each by an automaton that is broadcast and reads a text once."""
+    wanted = values.where(F.length("value") >= least).select("value").distinct().select("value", F.lower("value").alias("low"))
+    n = wanted.count()
+    parts = max(1, -(-n // at_once))
+    found = [_found_by_automaton(texts, wanted.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == k), text, keep) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _found_by_automaton(texts: DataFrame, wanted: DataFrame, text: str, keep: str) -> DataFrame:
+    spelled: dict[str, list[str]] = {}
+    for r in wanted.collect():  # about at_once rows
+        spelled.setdefault(r.low, []).append(r.value)
+    shared = texts.sparkSession.sparkContext.broadcast(spelled)
+
+    @F.pandas_udf("array<string>")
+    def hits(lows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for low, values in shared.value.items():
+            automaton.add_word(low, values)
+        automaton.make_automaton()
+        for part in lows:
+            yield pd.Series([sorted({v for _, vs in automaton.iter(t) for v in vs}) if t and shared.value else [] for t in part])
+
+    return texts.select(keep, hits(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("__hits")).select(keep, F.explode("__hits").alias("value"))
 
 
 def remembered(entries: DataFrame, key: str = "key", order: str = "at") -> DataFrame:

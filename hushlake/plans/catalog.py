@@ -630,11 +630,7 @@ WITH g AS (SELECT vec_id, embedding, lag(embedding) OVER (ORDER BY vec_id) AS be
 SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - before[i]::DOUBLE))) / 64 > 0.5 AS changed FROM g WHERE before IS NOT NULL
 """)
 def change_detect(spark: SparkSession, d: str) -> DataFrame:
-    """A vector against the one before it, joined by id; ids have no gaps."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    before = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("v").alias("b"))
-    diff = F.aggregate(F.zip_with("v", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    return e.join(before, "vec_id").select("vec_id", (diff > 0.5).alias("changed"))
+    return evaluation.changed(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
 
 
 @query("""

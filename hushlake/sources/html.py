@@ -17,8 +17,6 @@ BLOCKS = {
     "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MAX_CHARS = 60_000
-MAX_ELEMENTS = 160
 CONTROLS = {"input", "select", "textarea", "button", "a"}
 
 
@@ -73,41 +71,49 @@ def _parsed(html: str | None) -> _Page:
     return page
 
 
-def text_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", max_chars: int = MAX_CHARS) -> DataFrame:
+def text_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", max_chars: int | None = None) -> DataFrame:
     """(key, ord, tag, text): text under its nearest block, scripts left out,
-    up to ``max_chars`` characters per page."""
+    up to ``max_chars`` characters per page where that is given.  A null page has
+    no blocks, a null key stays."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for k, h in zip(frame[key], frame[html]):
-                left = max_chars
+                left = max_chars if max_chars is not None else len(h or "") + 1
                 for n, (tag, text) in enumerate(_parsed(h).blocks):
                     if left <= 0:
                         break
                     out.append((k, n, tag, text[:left]))
                     left -= len(text)
-            yield pd.DataFrame(out, columns=["k", "ord", "tag", "text"]).astype({"k": "int64", "ord": "int32"})
+            yield pd.DataFrame(out, columns=["k", "ord", "tag", "text"]).astype({"ord": "int32"})
 
-    done = pages.select(key, html).mapInPandas(rows, "k long, ord int, tag string, text string")
-    return done.withColumnRenamed("k", key)
+    return _rows_of(pages, key, html, rows, "ord int, tag string, text string")
 
 
-def controls(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, ord, tag, type, name, value, autocomplete) of links and controls."""
+def _rows_of(pages: DataFrame, key: str, html: str, rows, schema: str) -> DataFrame:
+    """Rows that ``rows`` makes of pages.  The key goes along as a string, as pandas
+    has no integers beside nulls."""
+    kind = pages.schema[key].dataType
+    done = pages.select(F.col(key).cast("string").alias(key), html).mapInPandas(rows, f"k string, {schema}")
+    return done.withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
+
+
+def controls(pages: DataFrame, key: str = "page_id", html: str = "html", most: int | None = None) -> DataFrame:
+    """(key, ord, tag, type, name, value, autocomplete) of links and controls, the
+    first ``most`` of a page where that is given."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [
                 (k, n, *c)
                 for k, h in zip(frame[key], frame[html])
-                for n, c in enumerate(_parsed(h).controls[:MAX_ELEMENTS])
+                for n, c in enumerate(_parsed(h).controls[:most])
             ]
             names = ["k", "ord", "tag", "type", "name", "value", "autocomplete"]
-            yield pd.DataFrame(out, columns=names).astype({"k": "int64", "ord": "int32"})
+            yield pd.DataFrame(out, columns=names).astype({"ord": "int32"})
 
-    schema = "k long, ord int, tag string, type string, name string, value string, autocomplete string"
-    return pages.select(key, html).mapInPandas(rows, schema).withColumnRenamed("k", key)
+    return _rows_of(pages, key, html, rows, "ord int, tag string, type string, name string, value string, autocomplete string")
 
 
 def page_languages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -13,7 +13,7 @@ from hushlake.functions.arrays import let
 from hushlake.functions.taxonomy import is_token
 from hushlake.operators.entities import entities
 from hushlake.operators.planning import plan
-from hushlake.operators.sanitize import MAX_AUDITED, blanked
+from hushlake.operators.sanitize import blanked
 
 REQUEST = (
     "struct<request_id:bigint,task:string,profile_keys:array<string>,more_below:boolean,visible_text:string,"
@@ -50,7 +50,7 @@ def incidents(strings: Column) -> Column:
         F.transform(
             strings,
             lambda s: let(
-                blanked(F.left(s.value, F.lit(MAX_AUDITED))),
+                blanked(s.value),
                 lambda t: F.transform(
                     entities(t), lambda m: F.struct(m.type.alias("type"), s.path.alias("path"), m["rule"].alias("rule"))
                 ),

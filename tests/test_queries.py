@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from hushlake.plans import catalog, catalog_forms  # noqa: F401
+from hushlake.plans import catalog, catalog_forms, catalog_requests  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
