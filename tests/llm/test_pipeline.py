@@ -33,9 +33,32 @@ def test_quality(stages):
 
 
 def test_near_duplicates(stages):
+    """Groups by both rules, over all pairs: fingerprints within two bits, and 80 % of
+    the 5-word shingles."""
     rows = stages[1].collect()
-    firsts = o.components([r.doc_id for r in rows], [o.fingerprint(r.text) for r in rows])
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(firsts))
+    ids = [r.doc_id for r in rows]
+    least = dict(zip(ids, o.components(ids, [o.fingerprint(r.text) for r in rows])))
+    sets = {}
+    for r in rows:
+        w = o.WORD.findall(r.text.lower())
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def join(i, j):
+        up[max(root(i), root(j))] = min(root(i), root(j))
+
+    for i in ids:
+        join(i, least[i])
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                join(i, j)
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted({root(i) for i in ids})
 
 
 def test_personal_data(stages):
