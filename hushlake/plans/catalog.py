@@ -667,7 +667,14 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return limits.windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("""
+WITH t AS (SELECT user_id, list({'t': epoch(ts::TIMESTAMP), 'tokens': 4.0::DOUBLE, 'denied': 0::BIGINT} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, len(l) AS seen, list_reduce(l, lambda a, x: {
+    't': x.t,
+    'tokens': CASE WHEN least(5.0, a.tokens + (x.t - a.t) * 0.001) >= 1 THEN least(5.0, a.tokens + (x.t - a.t) * 0.001) - 1 ELSE least(5.0, a.tokens + (x.t - a.t) * 0.001) END,
+    'denied': a.denied + CASE WHEN least(5.0, a.tokens + (x.t - a.t) * 0.001) >= 1 THEN 0 ELSE 1 END}) AS r FROM t)
+SELECT user_id, seen, r.denied AS denied FROM f
+""")
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     times = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id"))), lambda x: x.t)
     events = table(spark, d, "events").groupBy("user_id").agg(times.alias("t"))

@@ -158,6 +158,11 @@ def offer_ttl(spark: SparkSession, d: str) -> DataFrame:
     return timed.live_offers(events, "2024-01-15 00:00:00", 5 * 86400).select("user_id")
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN ts::TIMESTAMP - lag(ts::TIMESTAMP) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k
+""")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return timed.sessions(table(spark, d, "events"))
