@@ -3,15 +3,17 @@
 The search is exact.  Shingles have one order over all texts, the rarer first.
 Two sets with a Jaccard similarity of 0.8 share a shingle among the first
 n - ceil(0.8 n) + 1 of each, so only those are exchanged, with their places:
-the first shingle that two such sets share leaves enough after it in both.  A
-pair that meets is held against its sizes and its histograms of hashes first,
-which bound what it can share from above, and what these leave against its
-whole sets.
-
-A meeting's head is its least text.  Every text is compared with the least of
-its heads first, which links nearly all of a large group of near copies; with
-its other heads, and with other texts that it meets, only where it is not
-linked to the same text already.
+the first shingle that two such sets share leaves enough after it in both.  Where
+two meet, the parities of their hashes in bins, 64 bytes a text, bound from
+below by how many they differ; the join lets nothing through that differs by
+too many.  A pair that is left is held against its histograms of hashes, which
+bound what it can share from above, and then against its whole sets.
+
+A meeting's head is the text with the fewest rarer shingles before the one it is
+about: in a group of near copies that is the text they were made from, or one
+near it.  Every text is compared with the first of its heads, which links nearly
+all of such a group; with its other heads, and then with other texts that it
+meets, only where links found so far do not join the two.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, written
+from .components import components
 
 SHINGLE = 5
 #: The least similarity is SHARED / OF.
@@ -93,8 +96,10 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     return common
 
 
-def histogram(hashes: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+def histogram(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """How many hashes a bin has, as bytes, and the parities, as numbers of 64 bits."""
+    counts = np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes(), np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -134,6 +139,13 @@ def enough_left(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
     return (OF + SHARED) * F.least(na - ia, nb - ib) >= SHARED * (na + nb)
 
 
+def few_differ(na: Column, oa: Column, nb: Column, ob: Column) -> Column:
+    """Whether sets of these sizes and parities can differ by few enough; a shingle
+    that only one of them has turns over one parity."""
+    differ = sum((F.bit_count(oa[k].bitwiseXOR(ob[k])) for k in range(1, BINS // 64)), F.bit_count(oa[0].bitwiseXOR(ob[0])))
+    return (OF + SHARED) * differ <= (OF - SHARED) * (na + nb)
+
+
 def similar_links(docs: DataFrame, text: Column) -> DataFrame:
     """(a, b): row hashes of similar texts that join all such into the same
     components; a written table."""
@@ -141,47 +153,55 @@ def similar_links(docs: DataFrame, text: Column) -> DataFrame:
     texts = docs.select(F.xxhash64(text).alias("row_hash"), text.alias("text"))
     shared = spark.sparkContext.broadcast(common_shingles(texts))
 
-    @F.pandas_udf("struct<n:int,first:array<long>,bins:binary>")
+    @F.pandas_udf("struct<n:int,first:array<long>,bins:binary,odd:array<long>>")
     def firsts(texts: pd.Series) -> pd.DataFrame:
-        n, first, bins = np.zeros(len(texts), np.int32), [], []
+        n, first, bins, odd = np.zeros(len(texts), np.int32), [], [], []
         for k, t in enumerate(texts):
             s = shingle_set(t)
             n[k] = len(s)
             first.append(first_shingles(s, shared.value).view(np.int64))
-            bins.append(histogram(s))
-        return pd.DataFrame({"n": n, "first": first, "bins": bins})
-
-    prefixes = written(texts.withColumn("f", firsts("text")).select("row_hash", "f.n", "f.first", "f.bins"), "first-shingles")
-    rows = prefixes.select("row_hash", "n", F.posexplode("first").alias("place", "s"))
-    met = rows.groupBy("s").agg(F.min("row_hash").alias("head"), F.max("row_hash").alias("last")).where("head <> last")
-    met = written(met.select("s", "head"), "met")
+            for to, it in zip((bins, odd), histogram(s)):
+                to.append(it)
+        return pd.DataFrame({"n": n, "first": first, "bins": bins, "odd": odd})
+
+    prefixes = written(texts.withColumn("f", firsts("text")).select("row_hash", "f.n", "f.first", "f.bins", "f.odd"), "first-shingles")
+    rows = prefixes.select("row_hash", "n", "odd", F.posexplode("first").alias("place", "s"))
+    met = rows.groupBy("s").agg(F.min(F.struct("place", "row_hash")).alias("head"), F.min("row_hash").alias("least"), F.max("row_hash").alias("last"))
+    met = written(met.where("least <> last").select("s", F.col("head.row_hash").alias("head")), "met")
     members = written(rows.join(met, "s").distinct(), "meetings")
-    of_head = members.where("row_hash = head").select("s", F.col("n").alias("nh"), F.col("place").alias("ph"))
-    heads = members.where("row_hash <> head").join(of_head, "s").where(enough_left(F.col("n"), F.col("place"), F.col("nh"), F.col("ph")))
-    heads = written(heads.select(F.col("head").alias("a"), F.col("row_hash").alias("b")).distinct(), "heads")
+    of_head = members.where("row_hash = head").select("s", *[F.col(c).alias(k + "h") for c, k in (("n", "n"), ("place", "p"), ("odd", "o"))])
+    heads = members.where("row_hash <> head").join(of_head, "s").where(
+        enough_left(F.col("n"), F.col("place"), F.col("nh"), F.col("ph")) & few_differ(F.col("n"), F.col("odd"), F.col("nh"), F.col("oh"))
+    )
+    heads = written(heads.groupBy(F.col("head").alias("a"), F.col("row_hash").alias("b")).agg(F.min("ph").alias("ph")), "heads")
     forget(met)
-    least = written(heads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least-heads")
-    first = _verified(least, prefixes, texts)
-    # a text and the head it is similar to have one label
-    label = written(first.groupBy("b").agg(F.min("a").alias("label")), "labels")
-    of = lambda x: label.select(F.col("b").alias(x), F.col("label").alias("l" + x))
+    foremost = written(heads.groupBy("b").agg(F.min(F.struct("ph", "a")).alias("h")).select("h.a", "b"), "foremost-heads")
+    first = _verified(foremost, prefixes, texts)
+    # texts that links found so far join have one label
+    label = written(components(first), "labels")
+    of = lambda x: label.select(F.col("node").alias(x), F.col("root").alias("l" + x))
     named = lambda x: F.coalesce("l" + x, x)
-    apart = heads.join(least, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(named("a") != named("b"))
+    apart = heads.join(foremost, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(named("a") != named("b"))
     apart = written(apart.select("a", "b"), "other-heads")
-    second = _verified(apart, prefixes, texts)
-    forget(least, apart)
+    linked = written(first.unionByName(_verified(apart, prefixes, texts)), "linked")
+    forget(foremost, apart, first, label)
+    label = written(components(linked), "labels")
     placed = written(
-        members.select("s", "row_hash", "n", "place").join(of("row_hash"), "row_hash", "left").select("s", "row_hash", "n", "place", named("row_hash").alias("l")),
+        members.select("s", "row_hash", "n", "place", "odd").join(of("row_hash"), "row_hash", "left").select("s", "row_hash", "n", "place", "odd", named("row_hash").alias("l")),
         "places",
     )
     forget(members)
-    one = lambda x: placed.select("s", *[F.col(c).alias(k + x) for c, k in (("row_hash", ""), ("n", "n"), ("place", "p"), ("l", "l"))])
+    one = lambda x: placed.select("s", *[F.col(c).alias(k + x) for c, k in (("row_hash", ""), ("n", "n"), ("place", "p"), ("odd", "o"), ("l", "l"))])
     rest = one("a").join(one("b"), "s").where(
-        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & enough_left(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
+        (F.col("a") < F.col("b"))
+        & (F.col("la") != F.col("lb"))
+        & enough_left(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
+        & few_differ(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob"))
     )
-    pairs = written(rest.select("a", "b").distinct().join(heads, ["a", "b"], "left_anti"), "others")
+    tried = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "others")
     forget(placed, heads, label)
     more = _verified(pairs, prefixes, texts)
-    both = written(first.unionByName(second).unionByName(more), "similar-links")
-    forget(pairs, first, second, more, prefixes)
+    both = written(linked.unionByName(more), "similar-links")
+    forget(pairs, linked, more, prefixes)
     return both
