@@ -24,6 +24,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Spark's switch for deleting the shuffles of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text that a Python worker takes at once.
 TEXT_BYTES = 4 << 20
 #: Most keys that joined_to_unique() treats as hot.
@@ -50,20 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again.
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it again;
+    Python workers get batches of ``rows``.
 
     The files survive lost executors, so nothing before this point is ever
     computed twice, and the shuffles that led here go as soon as they are written.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    wanted = {SHUFFLE_CLEANUP: "true"} | ({BATCH_ROWS: str(rows)} if rows else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     again = spark.read.schema(df.schema).parquet(path)
     again._hushlake_path = path
     return again

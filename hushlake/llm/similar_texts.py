@@ -40,6 +40,8 @@ BYTES_PER_COUNTER = 384
 COUNTER_BITS = (15, 20)
 #: Texts that are counted at once.
 COUNTED = 256
+#: Texts that a Python worker takes at once.
+TEXTS = 1000
 #: Bins of a set's histogram, a byte each; a full one says nothing.
 BINS = 512
 FULL = 255
@@ -124,7 +126,7 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame) -> DataFr
     wanted = written(close.select(F.explode(F.array("a", "b")).alias("row_hash")).distinct(), "wanted")
     forget(own)
     kept = texts.join(wanted, "row_hash", "left_semi").dropDuplicates(["row_hash"])
-    sets = written(kept.select("row_hash", shingle_set_udf("text").alias("set")), "shingle-sets")
+    sets = written(kept.select("row_hash", shingle_set_udf("text").alias("set")), "shingle-sets", rows=TEXTS)
     one = lambda x: sets.select(F.col("row_hash").alias(x), F.col("set").alias("s" + x))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = OF * both >= SHARED * (F.size("sa") + F.size("sb") - both)
@@ -164,10 +166,10 @@ def similar_links(docs: DataFrame, text: Column) -> DataFrame:
                 to.append(it)
         return pd.DataFrame({"n": n, "first": first, "bins": bins, "odd": odd})
 
-    prefixes = written(texts.withColumn("f", firsts("text")).select("row_hash", "f.n", "f.first", "f.bins", "f.odd"), "first-shingles")
+    prefixes = written(texts.withColumn("f", firsts("text")).select("row_hash", "f.n", "f.first", "f.bins", "f.odd"), "first-shingles", rows=TEXTS)
     rows = prefixes.select("row_hash", "n", "odd", F.posexplode("first").alias("place", "s"))
-    met = rows.groupBy("s").agg(F.min(F.struct("place", "row_hash")).alias("head"), F.min("row_hash").alias("least"), F.max("row_hash").alias("last"))
-    met = written(met.where("least <> last").select("s", F.col("head.row_hash").alias("head")), "met")
+    met = rows.groupBy("s").agg(F.min_by("row_hash", "place").alias("head"), F.min("row_hash").alias("least"), F.max("row_hash").alias("last"))
+    met = written(met.where("least <> last").select("s", "head"), "met")
     members = written(rows.join(met, "s").distinct(), "meetings")
     of_head = members.where("row_hash = head").select("s", *[F.col(c).alias(k + "h") for c, k in (("n", "n"), ("place", "p"), ("odd", "o"))])
     heads = members.where("row_hash <> head").join(of_head, "s").where(
@@ -175,7 +177,7 @@ def similar_links(docs: DataFrame, text: Column) -> DataFrame:
     )
     heads = written(heads.groupBy(F.col("head").alias("a"), F.col("row_hash").alias("b")).agg(F.min("ph").alias("ph")), "heads")
     forget(met)
-    foremost = written(heads.groupBy("b").agg(F.min(F.struct("ph", "a")).alias("h")).select("h.a", "b"), "foremost-heads")
+    foremost = written(heads.groupBy("b").agg(F.min_by("a", "ph").alias("a")).select("a", "b"), "foremost-heads")
     first = _verified(foremost, prefixes, texts)
     # texts that links found so far join have one label
     label = written(components(first), "labels")
