@@ -79,6 +79,16 @@ def coverage(hits: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
+def harness_scores(truths: DataFrame, unmatched: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Scores that don't ask for the type: a truth (column covered) counts as found
+    where any box covers it, ``unmatched`` are the boxes that cover none.  F1 is null
+    where precision or recall is zero."""
+    t = truths.groupBy(*keep).agg(F.sum(F.col("covered").cast("long")).alias("tp"), F.sum((~F.col("covered")).cast("long")).alias("fn"))
+    both = t.join(unmatched.groupBy(*keep).agg(F.count("*").alias("fp")), list(keep), "full")
+    counts = both.select(*keep, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
+    return scored(counts, keep).withColumn("f1", F.when(F.col("tp") > 0, F.col("f1")))
+
+
 def mask_scores(truth: DataFrame, mask: DataFrame, keep: tuple[str, ...], cells: int) -> DataFrame:
     """Recall, precision and share of the screen of grid cells (distinct rows of
     ``keep`` and cx, cy) that hold truth and that are hidden."""

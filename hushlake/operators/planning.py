@@ -14,21 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions.taxonomy import PROFILE_KEYS
+from hushlake.functions.text import EDGE
 
-from .answers import is_question, looks_irreversible, search_query
+from .answers import is_question, looks_irreversible, search_query, task_facts
 from .fields import SOMEONE_ELSE
 
 STOP = ("stop before", "don't submit", "do not submit", "without submitting", "जमा न करें", "जमा मत करें", "सबमिट न करें", "सबमिट मत करें")
 ADVANCE = "(?i)^(?:next|next step|continue|proceed|save (?:and|&) continue|आगे|आगे बढ़ें)\\s*[›>→»]*$"
 MAX_SCROLLS = 4
-STEP = "struct<rule:int,pos:int,action:string,element_id:int,text:string>"
+STEP = "struct<place:double,pos:int,rule:int,action:string,element_id:int,text:string>"
+#: What a task states about the user fills fields after a search and before the profile.
+STATED, STATED_PLACE = 11, 2.5
 
 
-def _step(rule: int, pos: Column, action: str, element: Column, text: Column) -> Column:
+def _step(rule: int, pos: Column, action: str | Column, element: Column, text: Column, place: float | None = None) -> Column:
     return F.struct(
-        F.lit(rule).alias("rule"),
+        F.lit(float(rule) if place is None else place).alias("place"),
         pos.cast("int").alias("pos"),
-        F.lit(action).alias("action"),
+        F.lit(rule).alias("rule"),
+        (F.lit(action) if isinstance(action, str) else action).alias("action"),
         element.cast("int").alias("element_id"),
         text.cast("string").alias("text"),
     )
@@ -75,10 +79,29 @@ def plan(requests: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     group_of = lambda e: F.filter("elements", lambda o: (o.role == "radio") & (o.group == e.group))
     yes = lambda c: F.coalesce(c, F.lit(False))
 
+    def about(e: Column, subject: Column) -> Column:
+        label = F.replace(F.lower(F.concat_ws(" ", e.label, e.placeholder, e.group)), F.lit("_"), F.lit(" "))
+        return F.regexp_like(label, F.concat(F.lit(EDGE), subject, F.lit(EDGE)))
+
+    def stated(fact: Column, j: Column) -> Column:
+        """Fields about what the task states, up to a choice that is made already."""
+        marked = F.filter(
+            F.transform("elements", lambda e, i: F.struct(e.alias("e"), i.alias("i"))),
+            lambda m: about(m.e, fact.key) & ~yes(m.e.disabled) & ~failed(m.e) & ~seen(m.e, lambda x: x.action.isin("select", "type", "ask_user")),
+        )
+        radio = lambda e: yes(e.role == "radio")
+        made = F.array_min(F.transform(F.filter(marked, lambda m: radio(m.e) & F.exists(group_of(m.e), lambda o: yes(o.checked))), lambda m: m.i))
+        fits = F.filter(marked, lambda m: (m.i < F.coalesce(made, F.size("elements"))) & (radio(m.e) | yes(editable(m.e) & empty(m.e))))
+        return F.transform(
+            fits,
+            lambda m: _step(STATED, j * F.size("elements") + m.i, F.when(radio(m.e), "select").otherwise("type"), m.e.id, fact.value, STATED_PLACE),
+        )
+
     candidates = F.flatten(
         F.array(
             always(_step(1, F.lit(0), "done", none, F.lit("describe")), is_question(F.col("task"))),
             always(_step(2, F.lit(0), "search", none, query), query.isNotNull()),
+            F.flatten(F.transform(F.map_entries(task_facts(F.coalesce("task", F.lit("")))), stated)),
             each(lambda e: open_(e) & fill_key(e).isNotNull(), lambda e, i: _step(3, i, "type", e.id, F.concat(F.lit("⟦PROFILE."), fill_key(e), F.lit("⟧")))),
             each(lambda e: yes(e.required) & open_(e), lambda e, i: _step(4, i, "ask_user", e.id, e.label)),
             each(

@@ -16,7 +16,7 @@ from hushlake.functions import geometry as g
 from hushlake.functions.arrays import let
 from hushlake.functions.text import clamp_label, squeezed
 
-from .answers import MAX_AREA, SENSITIVE_HOST
+from .answers import MAX_AREA, SENSITIVE_HOST, is_question
 
 #: Fixed values.
 FIELD_CONFIDENCE = 0.98
@@ -253,3 +253,73 @@ def audit_row(step: DataFrame) -> DataFrame:
         F.transform("incidents", lambda i: F.struct(i.type.alias("type"), i.path.alias("path"))).alias("incidents"),
     )
     return took.unionByName(refused)
+
+
+def recent(steps: DataFrame, most: int = 20) -> DataFrame:
+    """The last steps by ``at``; of equal times the greater payloads of all columns."""
+    return steps.orderBy(*[F.col(c).desc() for c in ["at", *[c for c in steps.columns if c != "at"]]]).limit(most)
+
+
+#: Bounds of a wait in milliseconds, and the wait of a step that names none.
+WAIT, WAIT_UNNAMED = (100, 5000), 800
+#: Steps that a task may take.
+STEP_BUDGET = 12
+
+
+def waited(ms: Column) -> Column:
+    return F.least(F.greatest(F.coalesce(ms, F.lit(WAIT_UNNAMED)), F.lit(WAIT[0])), F.lit(WAIT[1]))
+
+
+def within_budget(step: Column, most: int = STEP_BUDGET) -> Column:
+    """Whether a task takes the step with this number, from 0."""
+    return F.coalesce((step >= 0) & (step < most), F.lit(False))
+
+
+#: Notes that a model is given with a request.
+NO_PICTURE = (
+    "NOTE: no screenshot this step. The page was judged too sensitive, or redaction covered too much of it to be worth sending. "
+    "Work from the element list and their bounding boxes alone."
+)
+NOT_ATTACHED = (
+    "NOTE: no screenshot this step — the element list and the screen text below describe everything on the page. Refer to elements by id."
+)
+MORE_BELOW = "The page continues below what is on screen; scroll down to see more of it."
+A_QUESTION = (
+    "THIS TASK IS A QUESTION. Do not click, type or scroll. Reply now with "
+    '{"action": "done", "summary": "<the answer, in the words of the SCREEN TEXT>"}. '
+    "If the answer is behind a token, the token is the answer."
+)
+ONE_ACTION = "Respond with exactly one JSON action object."
+#: Steps of the history that a model is given.
+HISTORY = 8
+
+
+def prompt(r: Column) -> Column:
+    """The text that a model is given with a request: what is null or empty is left
+    out.  ``r`` has task, step, origin, path, title, level, attached, profile_keys,
+    redactions, elements, visible_text, more_below, history and conversation (task,
+    summary); elements have role, value and filled at least.  The value of a box or
+    radio is not its state, and is left out."""
+    there = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    stated = lambda e, c: F.when(~F.coalesce(e.role.isin("checkbox", "radio"), F.lit(False)), c)
+    boxes = F.transform(r.elements, lambda e: e.withField("value", stated(e, e.value)).withField("filled", stated(e, e.filled)))
+    turns = F.transform(r.conversation, lambda t: F.concat(F.lit("- user: "), t.task, F.when(there(t.summary), F.concat(F.lit("\n  you: "), t.summary)).otherwise("")))
+    json = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
+    keys = F.array_join(r.profile_keys, ", ")
+    return F.concat_ws(
+        "\n\n",
+        F.when(some(r.conversation), F.concat(F.lit("EARLIER IN THIS CONVERSATION (oldest first):\n"), F.array_join(turns, "\n"))),
+        F.concat(F.lit("TASK: "), F.coalesce(r.task, F.lit(""))),
+        F.concat(F.lit("STEP: "), F.coalesce(r.step, F.lit(0)).cast("string")),
+        F.concat(F.lit("PAGE: "), F.coalesce(r.origin, F.lit("")), F.coalesce(r.path, F.lit("")), F.when(there(r.title), F.concat(F.lit(" — "), r.title)).otherwise("")),
+        F.when(F.coalesce(r.level, F.lit(1)) < 2, NO_PICTURE).when(~F.coalesce(r.attached, F.lit(False)), NOT_ATTACHED),
+        F.concat(F.lit("PROFILE KEYS AVAILABLE: "), F.when(there(keys), keys).otherwise("(none)")),
+        F.concat(F.lit("REDACTIONS ON THIS SCREEN:\n"), json(r.redactions)),
+        F.concat(F.lit("ELEMENTS:\n"), json(boxes)),
+        F.when(there(r.visible_text), F.concat(F.lit("SCREEN TEXT (reading order; personal data already replaced by tokens):\n"), r.visible_text)),
+        F.when(r.more_below, MORE_BELOW),
+        F.when(some(r.history), F.concat(F.lit("HISTORY (most recent last):\n"), F.to_json(last_of(r.history, HISTORY)))),
+        F.when(is_question(F.coalesce(r.task, F.lit(""))), A_QUESTION),
+        F.lit(ONE_ACTION),
+    )

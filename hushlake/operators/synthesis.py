@@ -50,6 +50,42 @@ def decoys(keys: DataFrame, key: str, tries: int = 20) -> DataFrame:
     return keys.select(key, F.get(F.filter(made, lambda v: ~checksums.verhoeff_valid(v) & ~checksums.luhn_valid(v)), 0).alias("decoy"))
 
 
+#: Kinds of numbers that are no personal data.
+DECOY_KINDS = ("order", "amount", "count", "invalid_card", "invalid_aadhaar", "year")
+
+
+def mixed_decoys(keys: DataFrame, key: str, tries: int = 20) -> DataFrame:
+    """``key``, kind and a number that passes no check, kinds by turns.  Each is one
+    of ``tries`` made from the key, the first that passes neither check; a short
+    number where all pass."""
+    k = F.col(key).cast("bigint")
+
+    def made(i: Column) -> Column:
+        h = F.pmod(k * 7368787 + i * 104729, F.lit(899_999_999_999))
+        card, number = F.concat(F.lit("4"), F.lpad(h.cast("string"), 14, "0")), (h + 1_000_000_000).cast("string")
+        stem = F.substr((h + 200_000_000_000).cast("string"), F.lit(1), F.lit(11))
+        spoiled = lambda stem, check: F.rtrim(F.regexp_replace(F.concat(stem, ((check + 1) % 10).cast("string")), "(.{4})", "$1 "))
+        forms = F.array(
+            number,
+            F.concat(F.lit("₹"), F.format_number(F.pmod(h, F.lit(999_900)) + 100, 0)),
+            (F.pmod(h, F.lit(99_000)) + 1000).cast("string"),
+            spoiled(card, checksums.luhn_digit(card)),
+            spoiled(stem, checksums.verhoeff_digit(stem)),
+            (F.pmod(h, F.lit(41)) + 1990).cast("string"),
+        )
+        return F.get(forms, F.pmod(k, F.lit(len(DECOY_KINDS))).cast("int"))
+
+    fits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), made), lambda v: ~checksums.verhoeff_valid(v) & ~checksums.luhn_valid(v, 13))
+    kind = F.get(F.array(*[F.lit(x) for x in DECOY_KINDS]), F.pmod(k, F.lit(len(DECOY_KINDS))).cast("int"))
+    return keys.select(key, kind.alias("kind"), F.coalesce(F.get(fits, 0), (F.pmod(k, F.lit(99_000)) + 1000).cast("string")).alias("decoy"))
+
+
+def sections(spine: Column, optional: Column, seed: Column) -> Column:
+    """Sections of a page: the recipe's own, then each optional one at even odds."""
+    drawn = F.filter(optional, lambda name, i: F.pmod(F.xxhash64(seed, i, name), F.lit(2)) == 0)
+    return F.concat(spine, drawn)
+
+
 #: Class of a detector for a kind of personal data; a face has none.
 DETECTOR_CLASS = {
     "PASSWORD": "password_field", "CARD": "payment_card", "CVV": "payment_card", "ID_DOCUMENT": "id_document",

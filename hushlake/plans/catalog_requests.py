@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.functions import geometry as g
-from hushlake.operators import choices, evaluation, fields, requests, spatial, synthesis, vision
+from hushlake.operators import choices, evaluation, fields, planning, requests, spatial, synthesis, vision
 from hushlake.sources.tables import table
 
 from .catalog import _INSIDE, _boxes, _boxes_sql, _cells_sql, query
@@ -348,3 +348,104 @@ def consent_and_enter(spark: SparkSession, d: str) -> DataFrame:
     asked = _pick("I declare that this is true", "Press submit on the declaration?", "Allow it?")
     sends = choices.enter_submits(_pick("textbox", "searchbox", "textbox"), F.lit("text"), _pick("Name", "Name", "Search here"), F.lit(None).cast("string"))
     return _keyed(spark, d).select("id", choices.consents(asked).alias("yes"), sends.alias("sends"))
+
+
+@query(f"""
+WITH t AS (SELECT page_id, sum(hit)::BIGINT AS tp, sum(1 - hit)::BIGINT AS fn FROM (SELECT t.page_id, t.id,
+    max(CASE WHEN d.id IS NULL THEN 0 ELSE 1 END) AS hit FROM {_boxes_sql(0)} t LEFT JOIN {_boxes_sql(40)} d ON t.page_id = d.page_id AND {_INSIDE} GROUP BY ALL) GROUP BY page_id),
+  f AS (SELECT page_id, count(*) AS fp FROM {_boxes_sql(40)} d WHERE NOT EXISTS (SELECT 1 FROM {_boxes_sql(0)} t WHERE t.page_id = d.page_id AND {_INSIDE}) GROUP BY page_id),
+  c AS (SELECT page_id, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, coalesce(fn, 0)::BIGINT AS fn FROM t FULL JOIN f USING (page_id))
+SELECT page_id, tp, fp, fn, round(tp / nullif(tp + fp, 0), 3) AS precision, round(tp / nullif(tp + fn, 0), 3) AS recall,
+  CASE WHEN tp > 0 THEN round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 3) END AS f1 FROM c
+""")
+def harness_score(spark: SparkSession, d: str) -> DataFrame:
+    truth, found = _boxes(spark, d, 0), _boxes(spark, d, 40)
+    each = spatial.matched(truth, found).groupBy(F.col("t.page_id").alias("page_id"), F.col("t.id").alias("id")).agg((F.count("d.id") > 0).alias("covered"))
+    return evaluation.harness_scores(each, spatial.unmatched(found, truth), ("page_id",))
+
+
+@query(f"""
+SELECT c_custkey AS id, {_case('order', 'amount', 'count', 'invalid_card', 'invalid_aadhaar', 'year')} AS kind, true AS formed,
+  CASE c_custkey % 6 WHEN 1 THEN '₹' || format('{{:,}}', (c_custkey::BIGINT * 7368787 % 899999999999) % 999900 + 100)
+    WHEN 2 THEN ((c_custkey::BIGINT * 7368787 % 899999999999) % 99000 + 1000)::VARCHAR WHEN 5 THEN ((c_custkey::BIGINT * 7368787 % 899999999999) % 41 + 1990)::VARCHAR END AS number
+FROM customer
+""")
+def mixed_decoys(spark: SparkSession, d: str) -> DataFrame:
+    """Six kinds of decoy; those that could pass a check are shown by their form alone."""
+    made = synthesis.mixed_decoys(_keyed(spark, d), "id")
+    form = _pick("[0-9]{10,12}", "₹[0-9,]+", "[0-9]{4,6}", "4[0-9]{3}( [0-9]{4}){3}", "[0-9]{4}( [0-9]{4}){2}", "(19|20)[0-9]{2}")
+    return made.select("id", "kind", F.regexp_like("decoy", F.concat(F.lit("^"), form, F.lit("$"))).alias("formed"), F.when(F.col("kind").isin("amount", "count", "year"), F.col("decoy")).alias("number"))
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN k IN (3, 4) THEN 11 WHEN k = 2 THEN 3 ELSE 10 END::INTEGER AS rule, CASE k WHEN 2 THEN 'type' WHEN 3 THEN 'type' WHEN 4 THEN 'select' ELSE 'done' END AS action,
+  CASE k WHEN 2 THEN '⟦PROFILE.EMAIL⟧' WHEN 3 THEN 'green' WHEN 4 THEN 'green' ELSE 'filled' END AS text FROM (SELECT *, c_custkey % 6 AS k FROM customer)
+""")
+def fill_from_task(spark: SparkSession, d: str) -> DataFrame:
+    """What the task states goes before the profile, but not into a field that holds
+    something (0), was answered (1), is about something else (2) or a choice made (5)."""
+    k = F.col("id") % 6
+
+    def element(id_: int, role: str, label: Column, **more) -> Column:
+        s = lambda n: more.get(n, F.lit(None)).cast("string").alias(n)
+        b = lambda n: more.get(n, F.lit(None)).cast("boolean").alias(n)
+        return F.struct(
+            F.lit(id_).alias("id"), F.lit(role).alias("role"), label.alias("label"), s("text"), s("placeholder"), s("value"),
+            s("sensitive"), s("group"), b("required"), b("disabled"), b("checked"), b("filled"),
+        )
+
+    box = element(1, "textbox", F.when(k == 2, "colours of_it").otherwise("Your colour"), value=F.when(k == 0, "red"))
+    mail = element(2, "textbox", F.lit("Email"), sensitive=F.lit("EMAIL"), filled=(k != 2) & (k != 3), value=F.when((k != 2) & (k != 3), "x"))
+    choice = element(3, "radio", F.lit("Green"), group=F.lit("colour_wanted"), checked=k == 5)
+    done = F.struct(F.lit("type").alias("action"), F.lit(1).alias("element_id"), F.lit(True).alias("ok"))
+    rows = _keyed(spark, d).select(
+        F.col("id").alias("request_id"), F.lit("My colour is green, fill the form").alias("task"), F.array(F.lit("EMAIL")).alias("profile_keys"), F.lit(False).alias("more_below"),
+        F.when(k >= 4, F.array(choice)).otherwise(F.array(box, mail)).alias("elements"), F.filter(F.array(done), lambda _: k == 1).alias("history"),
+    )
+    return planning.plan(rows).select(F.col("request_id").alias("id"), "rule", "action", "text")
+
+
+@query(f"""
+SELECT c_custkey AS id, {_case(100, 800, 700, 5000)} AS wait, c_custkey % 14 < 12 AS taken, [ 'header', 'form' ] AS spine FROM customer
+""")
+def waits_and_budget(spark: SparkSession, d: str) -> DataFrame:
+    made = synthesis.sections(F.array(F.lit("header"), F.lit("form")), F.array(F.lit("extra"), F.lit("more")), F.col("id"))
+    rows = _keyed(spark, d)
+    return rows.select("id", requests.waited(_pick(5, None, 700, 60000)).alias("wait"), requests.within_budget(F.col("id") % 14).alias("taken"), F.slice(made, 1, 2).alias("spine"))
+
+
+@query("SELECT event_id, ts AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def recent_steps(spark: SparkSession, d: str) -> DataFrame:
+    return requests.recent(table(spark, d, "events").select("event_id", F.col("ts").alias("at")))
+
+
+@query(f"""
+SELECT c_custkey AS id, {_case('EARLIER IN THIS CONVERSATION (oldest first):' + chr(10) + '- user: hello' + chr(10) + '  you: hi' + chr(10) + chr(10), '', '')} || 'TASK: ' || {_case('fill it', 'What is due?', 'fill it')} || '
+
+STEP: ' || (c_custkey % 3) || '
+
+PAGE: https://a.example/form' || {_case(' — ' + 'A form', '', '')} || '
+
+' || {_case('NOTE: no screenshot this step. The page was judged too sensitive, or redaction covered too much of it to be worth sending. Work from the element list and their bounding boxes alone.' + chr(10) + chr(10), 'NOTE: no screenshot this step — the element list and the screen text below describe everything on the page. Refer to elements by id.' + chr(10) + chr(10), '')} || 'PROFILE KEYS AVAILABLE: ' || {_case('EMAIL, PHONE', '(none)', '(none)')} || '
+
+REDACTIONS ON THIS SCREEN:
+[]
+
+ELEMENTS:
+[{{"id":1,"role":"checkbox"}}]
+
+' || {_case('', 'SCREEN TEXT (reading order; personal data already replaced by tokens):' + chr(10) + 'Due: 5' + chr(10) + chr(10), '')} || {_case('', '', 'The page continues below what is on screen; scroll down to see more of it.' + chr(10) + chr(10))} || {_case('', 'THIS TASK IS A QUESTION. Do not click, type or scroll. Reply now with {"action": "done", "summary": "<the answer, in the words of the SCREEN TEXT>"}. If the answer is behind a token, the token is the answer.' + chr(10) + chr(10), '')} || 'Respond with exactly one JSON action object.' AS text FROM customer
+""")
+def model_prompt(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id") % 3
+    none = F.array().cast("array<struct<token:string,type:string>>")
+    turn = F.array(F.struct(F.lit("hello").alias("task"), F.lit("hi").alias("summary")))
+    r = F.struct(
+        _pick("fill it", "What is due?", "fill it").alias("task"), k.alias("step"), F.lit("https://a.example").alias("origin"), F.lit("/form").alias("path"),
+        _pick("A form", None, "").alias("title"), _pick(1, 2, 2).alias("level"), (k == 2).alias("attached"),
+        F.when(k == 0, F.array(F.lit("EMAIL"), F.lit("PHONE"))).otherwise(F.array().cast("array<string>")).alias("profile_keys"), none.alias("redactions"),
+        F.array(F.struct(F.lit(1).alias("id"), F.lit("checkbox").alias("role"), F.lit("on").alias("value"), F.lit(True).alias("filled"))).alias("elements"),
+        F.when(k == 1, "Due: 5").alias("visible_text"), (k == 2).alias("more_below"), F.array().cast("array<struct<action:string>>").alias("history"),
+        F.when(k == 0, turn).alias("conversation"),
+    )
+    return _keyed(spark, d).withColumn("r", r).select("id", requests.prompt(F.col("r")).alias("text"))
