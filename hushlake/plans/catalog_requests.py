@@ -406,12 +406,12 @@ def fill_from_task(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT c_custkey AS id, {_case(100, 800, 700, 5000)} AS wait, c_custkey % 14 < 12 AS taken, [ 'header', 'form' ] AS spine FROM customer
+SELECT c_custkey AS id, {_case(100, 800, 700, 5000)} AS wait, c_custkey % 14 < 12 AS taken, 'header, form' AS spine FROM customer
 """)
 def waits_and_budget(spark: SparkSession, d: str) -> DataFrame:
     made = synthesis.sections(F.array(F.lit("header"), F.lit("form")), F.array(F.lit("extra"), F.lit("more")), F.col("id"))
     rows = _keyed(spark, d)
-    return rows.select("id", requests.waited(_pick(5, None, 700, 60000)).alias("wait"), requests.within_budget(F.col("id") % 14).alias("taken"), F.slice(made, 1, 2).alias("spine"))
+    return rows.select("id", requests.waited(_pick(5, None, 700, 60000)).alias("wait"), requests.within_budget(F.col("id") % 14).alias("taken"), F.array_join(F.slice(made, 1, 2), ", ").alias("spine"))
 
 
 @query("SELECT event_id, ts AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
