@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import geometry as g
+from hushlake.functions.arrays import let
 from hushlake.functions.taxonomy import PRIORITY
 
 
@@ -37,7 +38,8 @@ def fused(items: Column, width: Column, height: Column, pad: float = 3.0, least:
     """One page's detections merged one by one into hosts that grow.
 
     The order decides (rank, then area), so this is a fold and not a component
-    search; a page has tens of detections.
+    search.  A detection is held against every host once; hosts that don't fit
+    each other share the viewport, so on a full page they are far fewer.
     """
     grown = F.transform(
         items, lambda d: d.withField("box", g.padded(d.box, pad, width, height))
@@ -49,15 +51,21 @@ def fused(items: Column, width: Column, height: Column, pad: float = 3.0, least:
 
     def place(hosts: Column, x: Column) -> Column:
         d = x.d
-        fits = lambda h: (g.iou(h.box, d.box) >= least) | (g.containment(h.box, d.box) >= least)
-        at = F.array_position(F.transform(hosts, fits), F.lit(True)).cast("int")
+        # most hosts lie elsewhere, where both shares are 0
+        fits = lambda h: F.when(
+            g.common_area(h.box, d.box) > 0, (g.iou(h.box, d.box) >= least) | (g.containment(h.box, d.box) >= least)
+        ).otherwise(F.lit(least <= 0))
         merged = lambda h: h.withField("box", g.united(h.box, d.box)).withField(
             "confidence", F.greatest(h.confidence, d.confidence)
         ).withField(
             "type", F.when((h.source == "vision") & (d.source != "vision"), d.type).otherwise(h.type)
         )
-        return F.when(at == 0, F.concat(hosts, F.array(d))).otherwise(
-            F.transform(hosts, lambda h, i: F.when(i == at - 1, merged(h)).otherwise(h))
+        # bound once: in the lambda of the hosts it would be searched again for each of them
+        return let(
+            F.array_position(F.transform(hosts, fits), F.lit(True)).cast("int"),
+            lambda at: F.when(at == 0, F.concat(hosts, F.array(d))).otherwise(
+                F.transform(hosts, lambda h, i: F.when(i == at - 1, merged(h)).otherwise(h))
+            ),
         )
 
     return F.aggregate(ordered, F.array().cast(ITEM), place)
