@@ -180,14 +180,14 @@ def similar_links(docs: DataFrame, text: Column) -> DataFrame:
     foremost = written(heads.groupBy("b").agg(F.min_by("a", "ph").alias("a")).select("a", "b"), "foremost-heads")
     first = _verified(foremost, prefixes, texts)
     # texts that links found so far join have one label
-    label = written(components(first), "labels")
+    label = components(first)
     of = lambda x: label.select(F.col("node").alias(x), F.col("root").alias("l" + x))
     named = lambda x: F.coalesce("l" + x, x)
     apart = heads.join(foremost, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(named("a") != named("b"))
     apart = written(apart.select("a", "b"), "other-heads")
     linked = written(first.unionByName(_verified(apart, prefixes, texts)), "linked")
     forget(foremost, apart, first, label)
-    label = written(components(linked), "labels")
+    label = components(linked)
     placed = written(
         members.select("s", "row_hash", "n", "place", "odd").join(of("row_hash"), "row_hash", "left").select("s", "row_hash", "n", "place", "odd", named("row_hash").alias("l")),
         "places",
