@@ -178,42 +178,40 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     and of all documents together under a null ``lang``.
 
     Word counts are summed before the shuffle, and the rank limit is applied in
-    every task before and after it, so no task sees a language's vocabulary.
+    every task before and after it, so no task sees a language's vocabulary.  The
+    vocabulary is shuffled, but never written: its files would be as many as the
+    tasks, and for each the local file system starts processes.
     """
     t = text_or_empty(text)
     n = N_CLASSES
     by_class = (
         docs.select(F.col(lang).alias("lang"), F.length(t).alias("n"), rare_characters(t).alias("rare"), words_of(t).alias("w"))
         .withColumn("dense", F.length(F.array_join("w", "")))
-        .select("lang", F.array(*class_counts(F.col("n"), F.col("dense"), F.col("rare"))).alias("c"))
+        .select("lang", F.size("w").alias("words"), F.array(*class_counts(F.col("n"), F.col("dense"), F.col("rare"))).alias("c"))
     )
     classes = written(
         by_class.groupBy("lang").agg(
-            F.count("*").alias("docs"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)]
+            F.count("*").alias("docs"), F.sum("words").alias("total"), *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)]
         ),
         "classes",
     )
-    each = classes.where("lang is not null").select("lang", "docs", *[f"c{i}" for i in range(n)])
-    pooled = classes.agg(*[F.sum(c).alias(c) for c in ("docs", *[f"c{i}" for i in range(n)])]).select(
-        F.lit(None).cast("string").alias("lang"), "docs", *[f"c{i}" for i in range(n)]
-    )
+    sums = ("docs", "total", *[f"c{i}" for i in range(n)])
+    each = classes.where("lang is not null").select("lang", *sums)
+    pooled = classes.agg(*[F.sum(c).alias(c) for c in sums]).select(F.lit(None).cast("string").alias("lang"), *sums)
     shared = each.unionByName(pooled).select(
-        "lang", "docs", shares(F.array(*[F.col(f"c{i}") for i in range(n)])).alias("class_share")
+        "lang", "docs", "total", shares(F.array(*[F.col(f"c{i}") for i in range(n)])).alias("class_share")
     )
     words = docs.select(F.col(lang).alias("lang"), F.explode(word_ids(words_of(t))).alias("word"))
-    counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "vocabulary")
-    everywhere = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = totals.where("lang is not null").unionByName(
-        totals.agg(F.sum("total").alias("total")).select(F.lit(None).cast("string").alias("lang"), "total")
-    )
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # each word counts for its language, and for all documents under a null one
+    none_such = F.lit(None).cast("string")
+    either = F.when(F.col("lang").isNull(), F.array(none_such)).otherwise(F.array("lang", none_such))
+    both = counts.select(F.explode(either).alias("lang"), "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # in two rounds: the last task of a language gets SHARDS * TOP_WORDS words of
     # it, whatever the number of tasks before
     by_count = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
     top = (
-        counts.where("lang is not null")
-        .unionByName(everywhere)
-        .withColumn("shard", F.pmod(F.col("word"), F.lit(SHARDS)))
+        both.withColumn("shard", F.pmod(F.col("word"), F.lit(SHARDS)))
         .withColumn("rank", by_count("lang", "shard"))
         .where(F.col("rank") <= TOP_WORDS)
         .withColumn("rank", by_count("lang"))
@@ -221,13 +219,10 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
         .groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     )
-    a, b, c = shared.alias("a"), top.alias("b"), totals.alias("c")
-    joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").join(
-        c, F.col("a.lang").eqNullSafe(F.col("c.lang")), "left"
-    )
+    joined = shared.alias("a").join(top.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
     top_or_none = F.coalesce(F.col("b.top"), F.array().cast("array<struct<rank:int,word:bigint,n:bigint>>"))
     listed = F.aggregate(top_or_none, F.lit(0).cast("double"), lambda s, x: s + x.n)
-    total = F.coalesce(F.col("c.total").cast("double"), F.lit(0.0))
+    total = F.coalesce(F.col("a.total").cast("double"), F.lit(0.0))
     none = F.concat(F.array_repeat(F.lit(0.0), TOP_WORDS), F.array(F.lit(1.0)))
     refs = joined.select(
         F.col("a.lang").alias("lang"),

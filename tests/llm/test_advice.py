@@ -1,6 +1,7 @@
 """Cases that an earlier version left out."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -44,6 +45,31 @@ def test_every_language_has_a_reference(spark, monkeypatch, sent):
     assert [r.class_distance for r in got if r.lang == "zz"] == [pytest.approx(0, abs=1e-6)]
 
 
+def test_references_count_all_words_and_write_no_vocabulary(spark, monkeypatch):
+    rng = random.Random(7)
+
+    def text():
+        return " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))
+
+    rows = [(rng.choice(["en", "de", "", None]), text()) for _ in range(300)]
+    rows += [("none", None), ("none", " \n "), ("one", "w1"), (None, None)]
+    tables = []
+    monkeypatch.setattr(quality_rules, "written", lambda df, *a: tables.append(written(df, *a)) or tables[-1])
+    refs = quality_rules.references(spark.createDataFrame(rows, "lang string, text string"))
+    expected = {}
+    for lang in {x for x, _ in rows}:
+        own = Counter(w for x, t in rows if lang in (None, x) for w in (t or "").split())
+        top = sorted(own.values(), reverse=True)[: quality_rules.TOP_WORDS]
+        top += [0] * (quality_rules.TOP_WORDS - len(top))
+        expected[lang] = [n / max(1, own.total()) for n in [*top, own.total() - sum(top)]]
+    got = {r.lang: r.word_share for r in refs.collect()}
+    assert got.keys() == expected.keys()
+    for lang, share in expected.items():
+        assert got[lang] == pytest.approx(share)
+    # a row for each language, never one for each of their words
+    assert all(t.count() <= len(expected) for t in tables)
+
+
 def test_near_copies_go(spark):
     rng = random.Random(4)
 
